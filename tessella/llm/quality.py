@@ -149,7 +149,7 @@ def references(docs: DataFrame, common: int = 64, rare: int = 500, languages: in
     return out
 
 
-def judge(docs: DataFrame, common: int = 64, class_limit: float = 0.3, word_limit: float = 0.6, least_chars: int = 200, least_words: int = 100, least_reference: int = 5000, languages: int = 256) -> DataFrame:
+def judge(docs: DataFrame, common: int = 64, class_limit: float = 0.3, word_limit: float = 0.4, least_chars: int = 200, least_words: int = 100, least_reference: int = 5000, languages: int = 256) -> DataFrame:
     """doc_id, the base counts, base_failed, class_distance, word_distance
     (null below the minimum length) and kept."""
     reference = references(docs, common, languages=languages)
