@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality, sharding, tokens
+from . import chat, decontam, licenses, packing, quality, sharding, tokens, toxicity
 from .common import table
 
 
@@ -52,5 +52,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.context_table(tokens.length_histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_quality_rules, op5_sharding, op7_best_fit_packing, op9_token_counts)}
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.select("doc_id", "toxic").filter(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "passages")
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_chat_formatting, op2_license_scans, op3_quality_rules, op4_toxicity, op5_sharding, op7_best_fit_packing, op8_benchmark_decontamination, op9_token_counts)
+}
 ORACLES = {"op1_chat_formatting": OP1_SQL}
