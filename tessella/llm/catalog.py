@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, packing, quality, sharding, tokens, toxicity
+from . import chat, decontam, licenses, packing, quality, repeats, sharding, tokens, toxicity
 from .common import table
 
 
@@ -44,6 +44,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), [1.0] * 24).withColumn("law", F.lit("key"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = F.length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long")
+    return done.select("doc_id", n.alias("n_bytes"), (n - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -68,6 +74,6 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_license_scans, op3_quality_rules, op4_toxicity, op5_sharding, op7_best_fit_packing, op8_benchmark_decontamination, op9_token_counts)
+    for f in (op1_chat_formatting, op2_license_scans, op3_quality_rules, op4_toxicity, op5_sharding, op6_suffix_array_dedup, op7_best_fit_packing, op8_benchmark_decontamination, op9_token_counts)
 }
 ORACLES = {"op1_chat_formatting": OP1_SQL}

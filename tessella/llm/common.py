@@ -67,3 +67,25 @@ def utf8(column: str | F.Column) -> F.Column:
 def rows_of(table_or_dict, schema: pa.Schema) -> pa.RecordBatch:
     """A record batch of plain Python lists."""
     return pa.RecordBatch.from_arrays([pa.array(table_or_dict[f.name], f.type) for f in schema], schema=schema)
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """As cut(), but as compressed Parquet in the same shared folder: for
+    frames whose rows would make a large checkpoint. Removed at exit."""
+    import uuid
+
+    spark = df.sparkSession
+    shared_dir(spark)
+    jvm, context = spark._jvm, spark.sparkContext
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+
+    def remove():
+        try:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has gone; its folder goes with it
+            pass
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path)
