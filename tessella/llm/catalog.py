@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, packing, quality, repeats, sharding, tokens, toxicity
+from . import chat, decontam, licenses, packing, quality, repeats, setjoin, sharding, tokens, toxicity
 from .common import table
 
 
@@ -72,8 +72,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_license_scans, op3_quality_rules, op4_toxicity, op5_sharding, op6_suffix_array_dedup, op7_best_fit_packing, op8_benchmark_decontamination, op9_token_counts)
+    for f in (op1_chat_formatting, op2_license_scans, op3_quality_rules, op4_toxicity, op5_sharding, op6_suffix_array_dedup, op7_best_fit_packing, op8_benchmark_decontamination, op9_token_counts, op10_ngram_jaccard_join)
 }
 ORACLES = {"op1_chat_formatting": OP1_SQL}
