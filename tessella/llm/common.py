@@ -79,6 +79,7 @@ def cut_table(df: DataFrame) -> DataFrame:
     jvm, context = spark._jvm, spark.sparkContext
     path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    jvm.System.gc()  # the plan just written is garbage; once it is collected, Spark drops its shuffle files
 
     def remove():
         try:
@@ -89,3 +90,15 @@ def cut_table(df: DataFrame) -> DataFrame:
 
     atexit.register(remove)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def keep_rows(docs: DataFrame, judge) -> DataFrame:
+    """The rows of docs that judge keeps: judge() makes, in each task, a
+    function from a record batch to a list of booleans. All columns stay."""
+
+    def run(batches):
+        keep = judge()
+        for b in batches:
+            yield b.filter(pa.array(keep(b), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cached, texts, utf8
+from .common import cached, keep_rows, texts, utf8
 
 Q = 8
 FOLD = bytes(32 if c in b"\t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -171,23 +171,29 @@ def matches(text: bytes, patterns: Patterns) -> list[tuple[int, int, int, int, i
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, window: int = 400, least: int = 40, block: int = 4 << 20) -> DataFrame:
-    """doc_id, item_id, start, end (bytes of the text), edits, shared (q-grams)
-    of every place that holds an item."""
+def _blocks(benchmark: DataFrame, share: float, window: int, least: int, block: int):
+    """A maker of Patterns for each block of items, read one after another."""
     items = benchmark.select("item_id", utf8("text").alias("text")).filter(F.length("text") >= least)
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block))  # half full on average, as a hash deals unevenly
-    out = []
     for k in range(blocks):
         part = [(i, bytes(t)) for i, t in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toLocalIterator()]
         part.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        if not part:
-            continue
+        if part:
+            key = ("patterns", hash(tuple(part)), share, window, least)
+            yield lambda part=part, key=key: cached(key, lambda: Patterns(part, share, window, least))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, window: int = 400, least: int = 40, block: int = 4 << 20) -> DataFrame:
+    """doc_id, item_id, start, end (bytes of the text), edits, shared (q-grams)
+    of every place that holds an item."""
+    out = []
+    for make in _blocks(benchmark, share, window, least, block):
 
-        def run(batches, part=part):
-            patterns = cached(("patterns", hash(tuple(part)), share, window, least), lambda: Patterns(part, share, window, least))
+        def run(batches, make=make):
+            patterns = make()
             for b in batches:
-                found = [(i, *m) for i, text in zip(b.column(0).to_pylist(), texts(b.column(1))) if text for m in matches(text, patterns)] if len(patterns.text) else []
+                found = [(i, *m) for i, text in zip(b.column(0).to_pylist(), texts(b.column(1))) if text for m in matches(text, patterns)] if patterns.text else []
                 columns = list(zip(*found)) or [()] * len(FOUND)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND)], schema=FOUND)
 
@@ -195,3 +201,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, window: int
     if not out:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start long, end long, edits int, shared int")
     return reduce(DataFrame.unionByName, out)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, window: int = 400, least: int = 40, block: int = 4 << 20) -> DataFrame:
+    """The documents that hold no item, with all their columns."""
+    for make in _blocks(benchmark, share, window, least, block):
+
+        def judge(make=make):
+            patterns = make()
+            return lambda b: [not (text and patterns.text and matches(text, patterns)) for text in texts(b.column("text"))]
+
+        docs = keep_rows(docs, judge)
+    return docs

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, rows_of, texts
+from .common import SPACE, keep_rows, rows_of, texts
 
 #: Class of each UTF-8 byte; 0: continuation bytes, which count for nothing.
 CLASSES = 11
@@ -149,35 +149,59 @@ def references(docs: DataFrame, common: int = 64, rare: int = 500, languages: in
     return out
 
 
-def judge(docs: DataFrame, common: int = 64, class_limit: float = 0.3, word_limit: float = 0.4, least_chars: int = 200, least_words: int = 100, least_reference: int = 5000, languages: int = 256) -> DataFrame:
+def verdict(reference: dict, class_limit: float, word_limit: float, least_chars: int, least_words: int, least_reference: int):
+    """A function from a text and its language to the columns of JUDGED."""
+
+    def of(text: bytes, lang: str | None) -> tuple:
+        counts, words = byte_counts(text), text.split()
+        chars, symbols, lines, repeated = base(text, counts, words)
+        n = len(words)
+        failed = n < 50 or 100 * repeated > 50 * n
+        classes, place, usual = reference.get(lang) or reference[POOLED]
+        by_class = by_word = None
+        if usual.sum() >= least_reference:
+            if chars >= least_chars:
+                by_class = distance(class_counts(counts), classes)
+            if n >= least_words:
+                own = np.zeros(len(usual))
+                for w, k in Counter(filter(place.__contains__, common_form(text))).items():
+                    own[place[w]] = k
+                own[-1] = max(0.0, n - own.sum())
+                by_word = distance(own, usual)
+        kept = not failed and not (by_class is not None and by_class > class_limit) and not (by_word is not None and by_word > word_limit)
+        return n, chars, symbols, lines, repeated, failed, by_class, by_word, kept
+
+    return of
+
+
+JUDGED = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("class_distance", pa.float64()), ("word_distance", pa.float64()), ("kept", pa.bool_())])
+#: Limits lie between prose and list-like, shouted or symbol-ridden text.
+LIMITS = {"class_limit": 0.3, "word_limit": 0.4, "least_chars": 200, "least_words": 100, "least_reference": 5000}
+
+
+def judge(docs: DataFrame, common: int = 64, languages: int = 256, **limits) -> DataFrame:
     """doc_id, the base counts, base_failed, class_distance, word_distance
     (null below the minimum length) and kept."""
     reference = references(docs, common, languages=languages)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("class_distance", pa.float64()), ("word_distance", pa.float64()), ("kept", pa.bool_())])
+    limits = LIMITS | limits
 
     def run(batches):
+        of = verdict(reference, **limits)
         for b in batches:
-            out = []
-            for i, text, lang in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist()):
-                text = text or b""
-                counts, words = byte_counts(text), text.split()
-                chars, symbols, lines, repeated = base(text, counts, words)
-                n = len(words)
-                failed = n < 50 or 100 * repeated > 50 * n
-                classes, place, usual = reference.get(lang) or reference[POOLED]
-                by_class = by_word = None
-                if usual.sum() >= least_reference:
-                    if chars >= least_chars:
-                        by_class = distance(class_counts(counts), classes)
-                    if n >= least_words:
-                        own = np.zeros(len(usual))
-                        for w, k in Counter(filter(place.__contains__, common_form(text))).items():
-                            own[place[w]] = k
-                        own[-1] = max(0.0, n - own.sum())
-                        by_word = distance(own, usual)
-                kept = not failed and not (by_class is not None and by_class > class_limit) and not (by_word is not None and by_word > word_limit)
-                out.append((i, n, chars, symbols, lines, repeated, failed, by_class, by_word, kept))
-            columns = list(zip(*out)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean")
+            rows = [of(text or b"", lang) for text, lang in zip(texts(b.column(1)), b.column(2).to_pylist())]
+            columns = list(zip(*rows)) or [()] * len(JUDGED)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(columns, JUDGED))], names=["doc_id", *JUDGED.names])
+
+    return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean")
+
+
+def keep(docs: DataFrame, common: int = 64, languages: int = 256, **limits) -> DataFrame:
+    """The documents that judge() keeps, with all their columns."""
+    reference = references(docs, common, languages=languages)
+    limits = LIMITS | limits
+
+    def make():
+        of = verdict(reference, **limits)
+        return lambda b: [of(text or b"", lang)[-1] for text, lang in zip(texts(b.column("text")), b.column("lang").to_pylist())]
+
+    return keep_rows(docs, make)

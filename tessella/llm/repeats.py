@@ -303,8 +303,9 @@ def sort_contexts(batches, length: int, memory: int):
         yield _judged((key[r], np.ones(len(r), bool)), key[r], n[r], place[r] - back + first, place[r] - back + last - 1 + length)
 
 
-def cut_spans(batches, at: int):
-    """Add kept and spans (merged) to rows whose columns `at` on are text and found."""
+def cut_spans(batches, at: int, in_place: bool = False):
+    """Add kept and spans (merged) to rows whose columns `at` on are text and
+    found. in_place: only put what is left of the text in its column."""
     for b in batches:
         kept, merged = [], []
         for text, found, copies in zip(texts(b.column(at)), b.column(at + 1).to_pylist(), b.column(at + 2).to_pylist()):
@@ -325,14 +326,19 @@ def cut_spans(batches, at: int):
             parts.append(text[done:])
             kept.append(b"".join(parts))
             merged.append([{"start": s, "end": e} for s, e in spans])
+        if in_place:
+            body = b.column(at)
+            whole = [k.decode("utf-8", "ignore") if ok else None for ok, k in zip(body.is_valid().to_pylist(), kept)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(at)), pa.array(whole, pa.string())], names=b.schema.names[: at + 1])
+            continue
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         arrays = [b.column(i) for i in range(at + 1)] + [pa.array(kept, pa.binary()), pa.array(merged, span)]
         yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names[: at + 1], "kept", "spans"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, memory: int = 256 << 20) -> DataFrame:
-    """The columns of docs (text last), kept (the bytes left) and spans (the
-    byte ranges removed)."""
+def _marked(docs: DataFrame, length: int, memory: int) -> DataFrame:
+    """The columns of docs (text last), the stretches found in the text and
+    whether all of it goes."""
     others = [c for c in docs.columns if c != "text"]
     keyed = docs.select(*others, "text").withColumn("_key", F.xxhash64("text")).withColumn("_n", F.length(utf8("text")).cast("long"))
     long = keyed.filter(F.col("_n") >= length)
@@ -354,6 +360,25 @@ def remove_repeats(docs: DataFrame, length: int = 200, memory: int = 256 << 20)
     spans = judged.filter("anchor is null").unionByName(edges).groupBy(F.col("text_key").alias("_key"), F.col("n_bytes").alias("_n")).agg(F.collect_set(F.struct("start", "end")).alias("_found"))
     marks = spans.join(classes.filter("_copies > 1").select("_key", "_n", F.lit(True).alias("_all")), ["_key", "_n"], "full_outer")
     joined = keyed.join(marks.withColumn("_all", F.coalesce("_all", F.lit(False))), ["_key", "_n"], "left").select(*others, "text", F.when(~F.col("_all"), F.col("_found")).alias("_found"), F.coalesce("_all", F.lit(False)).alias("_all"))
-    out = T.StructType([*[joined.schema[c] for c in (*others, "text")], T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    place = len(others)
+    return joined
+
+
+def remove_repeats(docs: DataFrame, length: int = 200, memory: int = 64 << 20) -> DataFrame:
+    """The columns of docs (text last), kept (the bytes left) and spans (the
+    byte ranges removed)."""
+    joined = _marked(docs, length, memory)
+    place = len(docs.columns) - 1
+    out = T.StructType([*joined.schema.fields[: place + 1], T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     return joined.mapInArrow(lambda x: cut_spans(x, place), out)
+
+
+def without_repeats(docs: DataFrame, length: int = 200, memory: int = 64 << 20) -> DataFrame:
+    """docs with what is left of their texts. A character that a cut leaves in
+    part goes; a null text stays null; n_chars, if there is one, is counted
+    anew."""
+    joined = _marked(docs, length, memory)
+    place = len(docs.columns) - 1
+    done = joined.mapInArrow(lambda x: cut_spans(x, place, in_place=True), T.StructType(joined.schema.fields[: place + 1]))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
