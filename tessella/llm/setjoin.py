@@ -8,21 +8,23 @@ Documents with one set are handled as one. A set that has a partner shares one
 of its |A| - ceil(t |A|) + 1 smallest hashes with it (prefix filter), so sets
 meet only where they share such a token; tokens with one set end there.
 
-Round 1. Every set goes to one cell, that of its most shared token, so a family
-of copies meets in one place and each text travels once. A cell holds at most
-`cell` sets of neighbouring sizes. Inside it a signature tree is built: leaves
-are token bitmaps, inner nodes the OR of theirs with the range of set sizes. A
-dual traversal drops node pairs whose sizes or whose largest possible overlap,
-popcount(A and B) plus the tokens that may share a bit, cannot reach t. Pairs
-that are left are checked on the sets, the most alike first; pairs already in
-one component are skipped, so a family of n copies costs about n checks.
-
-Round 2. Tokens shared between different components of different cells get the
-same traversal over bitmaps alone (groups cut into pairs of blocks of at most
-`cell` sets, so no task holds a whole group). The pairs that no bound excludes
-are checked on the sets.
-
-Components of both rounds are merged by hooking to the least label and pointer
+Every set goes to one cell, that of its most shared token, so a family of copies
+meets in one place. A cell holds at most `cell` sets of neighbouring sizes; so
+does a block of the sets that share a token across cells, and blocks meet in
+pairs, so no task holds a whole group. In a cell or a pair of blocks signature
+trees are built: leaves are token bitmaps, inner nodes the OR of theirs with the
+range of set sizes. A dual traversal drops node pairs whose sizes or whose
+largest possible overlap, popcount(A and B) plus the tokens that may share a
+bit, cannot reach t.
+
+Round 1 runs on bitmaps and marks the sets with a partner that no bound
+excludes; only their texts are fetched. Round 2 checks cells on the sets
+themselves, the most alike pairs first, and skips pairs already in one
+component, so a family of n copies costs about n checks. Round 3 traverses the
+blocks across cells again, for sets whose components still differ, and checks
+the pairs that are left.
+
+Components of all rounds are merged by hooking to the least label and pointer
 jumping, with a checkpoint each time. Links, components and fingerprints stay
 distributed.
 
@@ -43,7 +45,7 @@ from .common import cut, cut_table, texts
 from .repeats import Hasher, mix
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-BITS = 1024
+BITS = 512
 CHUNK = 1 << 19
 
 
@@ -122,21 +124,20 @@ def _needed(x: np.ndarray, y: np.ndarray, t: tuple[int, int]) -> np.ndarray:
     return -((-(x + y) * t[0]) // (t[0] + t[1]))
 
 
-def candidates(a: SignatureTree, b: SignatureTree, t: tuple[int, int], within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of sets that no bound excludes, and how far the bound exceeds the
-    need. within: a is b, each pair once."""
-    top = [(x.levels[-1], len(x.levels) - 1) for x in (a, b)]
-    i, j = (g.ravel() for g in np.meshgrid(np.arange(len(top[0][0][0])), np.arange(len(top[1][0][0])), indexing="ij"))
-    la, lb = top[0][1], top[1][1]
-    out: list[tuple] = []
+def candidates(a: SignatureTree, b: SignatureTree, t: tuple[int, int], within: bool):
+    """Blocks of pairs of sets (and how far the bound exceeds the need) that no
+    bound excludes. within: a is b, each pair once."""
+    fan, block = SignatureTree.FAN, 1 << 15
+    la, lb = len(a.levels) - 1, len(b.levels) - 1
+    i, j = (g.ravel() for g in np.meshgrid(np.arange(len(a.levels[la][0])), np.arange(len(b.levels[lb][0])), indexing="ij"))
     todo = [(la, lb, i, j)]
     while todo:
         la, lb, i, j = todo.pop()
         if within and la == lb:
             keep = i < j if la == 0 else i <= j
             i, j = i[keep], j[keep]
-        if len(i) > 1 << 16:
-            todo += [(la, lb, i[k : k + (1 << 16)], j[k : k + (1 << 16)]) for k in range(0, len(i), 1 << 16)]
+        if len(i) > block:
+            todo += [(la, lb, i[k : k + block], j[k : k + block]) for k in range(0, len(i), block)]
             continue
         (ma, loa, hia, sa), (mb, lob, hib, sb) = a.levels[la], b.levels[lb]
         fits = (hia[i] * t[1] >= lob[j] * t[0]) & (hib[j] * t[1] >= loa[i] * t[0])
@@ -153,20 +154,15 @@ def candidates(a: SignatureTree, b: SignatureTree, t: tuple[int, int], within: b
         if not len(i):
             continue
         if la == 0 and lb == 0:
-            out.append((i, j, spare))
-            continue
-        fan = np.arange(SignatureTree.FAN)
-        if la >= lb:
-            i, j = (i[:, None] * SignatureTree.FAN + fan).ravel(), np.repeat(j, SignatureTree.FAN)
+            yield i, j, spare
+        elif la >= lb:
+            i, j = (i[:, None] * fan + np.arange(fan)).ravel(), np.repeat(j, fan)
             keep = i < len(a.levels[la - 1][0])
             todo.append((la - 1, lb, i[keep], j[keep]))
         else:
-            i, j = np.repeat(i, SignatureTree.FAN), (j[:, None] * SignatureTree.FAN + fan).ravel()
+            i, j = np.repeat(i, fan), (j[:, None] * fan + np.arange(fan)).ravel()
             keep = j < len(b.levels[lb - 1][0])
             todo.append((la, lb - 1, i[keep], j[keep]))
-    if not out:
-        return (np.empty(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def linked(x: np.ndarray, y: np.ndarray, t: tuple[int, int]) -> bool:
@@ -184,22 +180,23 @@ def components(sets: list[np.ndarray], maps: np.ndarray, t: tuple[int, int]) ->
 
     def root(k: int) -> int:
         while parent[k] != k:
-            parent[k] = parent[parent[k]]
             k = parent[k]
         return k
 
     tree = SignatureTree(maps, np.array([len(s) for s in sets], np.int64))
-    i, j, spare = candidates(tree, tree, t, within=True)
-    order = np.argsort(-spare, kind="stable")
-    for at in range(0, len(order), 4096):
-        some = order[at : at + 4096]
-        label = np.array([root(k) for k in range(len(sets))]) if len(sets) < len(some) else parent
-        some = some[label[i[some]] != label[j[some]]]
-        for a, b in zip(i[some].tolist(), j[some].tolist()):
+    for i, j, spare in candidates(tree, tree, t, within=True):
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up
+        apart = parent[i] != parent[j]
+        i, j, spare = i[apart], j[apart], spare[apart]
+        order = np.argsort(-spare, kind="stable")
+        for a, b in zip(i[order].tolist(), j[order].tolist()):
             ra, rb = root(a), root(b)
             if ra != rb and linked(sets[a], sets[b], t):
                 parent[max(ra, rb)] = min(ra, rb)
-    return np.array([root(k) for k in range(len(sets))], np.int64)
+    while (up := parent[parent]).tobytes() != parent.tobytes():
+        parent = up
+    return parent
 
 
 def _groups(batches, columns: int):
@@ -225,94 +222,139 @@ def _groups(batches, columns: int):
         yield key, pa.Table.from_batches(held)
 
 
-DOCUMENT = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("prefix", pa.list_(pa.int64()))])
-CELL = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("cell", pa.int64()), ("comp", pa.int64()), ("comp_n", pa.int64()), ("bits", pa.binary())])
+DOCUMENT = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+CELL = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("comp", pa.int64()), ("comp_n", pa.int64())])
+HOME = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("block", pa.int64()), ("active", pa.bool_())])
 
 
 def describe(batches, words: int, t: tuple[int, int]):
     hasher = Hasher()
     for b in batches:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         for _, s in batches_of_sets(texts(b.column(2)), words, hasher):
             n = len(s)
             out[0].append(n)
             out[1].append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if n else 0)
             out[2].append(s[: n + (-n * t[0] // t[1]) + 1].view(np.int64) if n else np.empty(0, np.int64))
+            out[3].append(bitmap(s).tobytes() if n else None)
         sizes = np.cumsum([0] + [len(p) for p in out[2]]).astype(np.int32)
         prefix = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([*out[2], np.empty(0, np.int64)])))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), prefix], schema=DOCUMENT)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[3], pa.binary()), prefix], schema=DOCUMENT)
+
 
+def shared_tokens(batches, most: int = 1 << 16):
+    """token, key, n (sorted) -> the rows of tokens that two sets share, with
+    how many do (`most` for that many or more: groups are streamed)."""
+    schema = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("df", pa.int64())])
+    held: np.ndarray | None = None  # rows of the last token, not written yet
+    flushed = False  # whether rows of that token were written before
+
+    def write(rows, df):
+        return pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows), pa.array(df)], schema=schema)
 
-def shared_tokens(batches):
-    """token, key, n (sorted) -> the rows of tokens that two sets share."""
-    schema = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
-    tail, tail_kept = None, False
     for b in batches:
         rows = np.stack([b.column(i).to_numpy() for i in range(3)])
-        if tail is not None:
-            rows = np.concatenate([tail, rows], axis=1)
+        if held is not None:
+            rows = np.concatenate([held, rows], axis=1)
         if not rows.shape[1]:
             continue
         fresh = np.ones(rows.shape[1], bool)
         fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
         rows = rows[:, fresh]
-        same = rows[0, 1:] == rows[0, :-1]
-        keep = np.zeros(rows.shape[1], bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        keep[0] |= tail_kept
-        tail, tail_kept = rows[:, -1:], bool(keep[-1])
-        rows = rows[:, :-1][:, keep[:-1]]
-        yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], schema=schema)
-    if tail is not None and tail_kept:
-        yield pa.RecordBatch.from_arrays([pa.array(r) for r in tail], schema=schema)
+        begin = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
+        size = np.diff(np.append(begin, rows.shape[1]))
+        df = np.repeat(size, size)
+        if flushed:
+            df[: size[0]] = most
+        done = begin[-1]
+        keep = df[:done] > 1
+        yield write(rows[:, :done][:, keep], df[:done][keep])
+        flushed = flushed and len(begin) == 1
+        held = rows[:, done:]
+        if held.shape[1] > most:
+            yield write(held[:, :-1], np.full(held.shape[1] - 1, most))
+            held, flushed = held[:, -1:], True
+    if held is not None and (flushed or held.shape[1] > 1):
+        yield write(held, np.full(held.shape[1], most if flushed else held.shape[1]))
+
+
+def _maps(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def stir_cells(batches, t: tuple[int, int]):
+    """token, block, n, key, bits (sorted) -> HOME: which sets have a partner in
+    their cell that no bound excludes."""
+    out = []
+    for (token, block), group in _groups(batches, 2):
+        key, n = group["key"].to_numpy(), group["n"].to_numpy()
+        active = np.zeros(len(key), bool)
+        if len(key) > 1:
+            tree = SignatureTree(_maps(group["bits"]), n)
+            for i, j, _ in candidates(tree, tree, t, within=True):
+                active[i] = active[j] = True
+        out.append((key, n, np.full(len(key), token), np.full(len(key), block), active))
+        if len(out) > 5000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=HOME)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=HOME)
+
+
+def stir_blocks(batches, t: tuple[int, int]):
+    """As stir_cells, between sets of different cells: key, n (repeated)."""
+    for _, i, j, key, n, _ in _block_pairs(batches, t):
+        at = np.unique(np.concatenate([i, j]))
+        yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(n[at])], names=["key", "n"])
 
 
 def join_cells(batches, words: int, t: tuple[int, int]):
     """token, block, n, key, text (sorted) -> CELL."""
-    hasher, out, held = Hasher(), [], 0
-    for (token, block), group in _groups(batches, 2):
+    hasher, out = Hasher(), []
+    for _, group in _groups(batches, 2):
         key, n = group["key"].to_numpy(), group["n"].to_numpy()
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (n[1:] != n[:-1])
         key, n = key[fresh], n[fresh]
-        body = [t_ for t_, f in zip(texts(group["text"]), fresh) if f]
-        sets = [s for _, s in batches_of_sets(body, words, hasher)]
-        maps = np.stack([bitmap(s) for s in sets])
-        comp = components(sets, maps, t)
-        cell = int(mix(np.array([token, block], np.int64).view(np.uint64) + np.array([0, 1 << 32], np.uint64)).sum(dtype=np.uint64).view(np.int64))
-        out.append((key, n, np.full(len(key), cell), key[comp], n[comp], maps))
-        held += len(key)
-        if held > 20_000:
-            yield _cells(out)
-            out, held = [], 0
+        sets = [s for _, s in batches_of_sets([x for x, f in zip(texts(group["text"]), fresh) if f], words, hasher)]
+        comp = components(sets, np.stack([bitmap(s) for s in sets]), t)
+        out.append((key, n, key[comp], n[comp]))
+        if len(out) > 5000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=CELL)
+            out = []
     if out:
-        yield _cells(out)
-
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=CELL)
 
-def _cells(out):
-    columns = [np.concatenate(c) for c in list(zip(*out))[:5]]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([m.tobytes() for c in out for m in c[5]], pa.binary())], schema=CELL)
 
-
-PAIR = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("other_key", pa.int64()), ("other_n", pa.int64())])
-
-
-def join_blocks(batches, t: tuple[int, int]):
-    """token, first, second, side, n, key, cell, comp, comp_n, bits (sorted):
-    pairs of sets from different components and cells that no bound excludes."""
+def _block_pairs(batches, t: tuple[int, int]):
+    """token, first, second, side, n, key, bits, cell columns (sorted) -> blocks
+    of pairs of different cells."""
     for (_, first, second), group in _groups(batches, 3):
-        side = group["side"].to_numpy()
-        key, n, cell, comp, comp_n = (group[c].to_numpy() for c in ("key", "n", "cell", "comp", "comp_n"))
-        maps = np.frombuffer(b"".join(group["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        side, key, n = (group[c].to_numpy() for c in ("side", "key", "n"))
+        home = [group[c].to_numpy() for c in ("home", "home_block")]
+        maps = _maps(group["bits"])
         if first == second:
+            left = right = np.arange(len(key))
             tree = SignatureTree(maps, n)
-            i, j, _ = candidates(tree, tree, t, within=True)
+            found = candidates(tree, tree, t, within=True)
         else:
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            i, j, _ = candidates(SignatureTree(maps[left], n[left]), SignatureTree(maps[right], n[right]), t, within=False)
+            found = candidates(SignatureTree(maps[left], n[left]), SignatureTree(maps[right], n[right]), t, within=False)
+        for i, j, _ in found:
             i, j = left[i], right[j]
-        keep = (cell[i] != cell[j]) & ((comp[i] != comp[j]) | (comp_n[i] != comp_n[j]))
+            apart = (home[0][i] != home[0][j]) | (home[1][i] != home[1][j])
+            if apart.any():
+                yield first, i[apart], j[apart], key, n, group
+
+
+PAIR = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("other_key", pa.int64()), ("other_n", pa.int64())])
+
+
+def join_blocks(batches, t: tuple[int, int]):
+    """The pairs of different cells and components that no bound excludes."""
+    for _, i, j, key, n, group in _block_pairs(batches, t):
+        comp, comp_n = group["comp"].to_numpy(), group["comp_n"].to_numpy()
+        keep = (comp[i] != comp[j]) | (comp_n[i] != comp_n[j])
         i, j = i[keep], j[keep]
         swap = (key[i] > key[j]) | ((key[i] == key[j]) & (n[i] > n[j]))
         i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -351,45 +393,85 @@ def merge_components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def _blocks(placed: DataFrame, apart: str, t: tuple[int, int], cell: int) -> DataFrame:
+    """The rows of tokens that different values of `apart` share, in blocks of
+    `cell` rows in order of size, dealt to each pair of blocks whose sizes are
+    near enough: token, first, second, side and the columns of placed."""
+    of = Window.partitionBy("token")
+    rows = placed.withColumn("_lo", F.min(apart).over(of)).withColumn("_hi", F.max(apart).over(of)).filter("_lo <> _hi").drop("_lo", "_hi")
+    rows = rows.withColumn("block", F.floor((F.row_number().over(of.orderBy("n", "key")) - 1) / cell))
+    ends = Window.partitionBy("token", "block")
+    # a block meets itself and those after it whose least size is in reach; few tokens have a second block
+    rows = rows.withColumn("lo", F.min("n").over(ends)).withColumn("last", F.max("block").over(of))
+    first = rows.filter("last = 0").select("*", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("second"), F.lit(0).alias("side"))
+    many = rows.filter("last > 0")
+    span = many.groupBy("token", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    after = span.select("token", F.col("block").alias("second"), F.col("lo").alias("lo2"))
+    near = span.select("token", F.col("block").alias("first"), "hi").join(after, "token").filter((F.col("first") <= F.col("second")) & (F.col("hi") * t[1] >= F.col("lo2") * t[0])).select("token", "first", "second")
+    use = near.select("*", F.lit(0).alias("side"), F.col("first").alias("block")).unionByName(near.filter("first < second").select("*", F.lit(1).alias("side"), F.col("second").alias("block")))
+    return first.unionByName(many.join(use, ["token", "block"])).drop("block", "lo", "last")
+
+
+def _dealt(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    head = ["token", "first", "second", "side", "n", "key"]
+    rows = rows.join(bits, ["key", "n"]).select(*head, *(c for c in rows.columns if c not in head), "bits")
+    return rows.repartition("token", "first", "second").sortWithinPartitions("token", "first", "second", "side", "n", "key")
+
+
 def join_components(docs: DataFrame, words: int = 4, threshold: tuple[int, int] = (85, 100), cell: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id and set_key of every document; own: a
     hash of the document's id and text."""
     t = threshold
+    pair = "key long, n long"
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("own"), "text")
-    described = cut_table(rows.mapInArrow(lambda x: describe(x, words, t), "doc_id long, own long, n long, key long, prefix array<long>"))
-    sets = described.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min("own").alias("own"))
-    token = described.filter("n > 0").select(F.explode("prefix").alias("token"), "key", "n")
-    shared = cut_table(token.repartition("token").sortWithinPartitions("token", "key", "n").mapInArrow(shared_tokens, "token long, key long, n long"))
-
-    count = shared.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    home = shared.join(count, "token").groupBy("key", "n").agg(F.max(F.struct("df", "token")).alias("x")).select("key", "n", F.col("x.token").alias("token"))
+    described = cut_table(rows.mapInArrow(lambda x: describe(x, words, t), "doc_id long, own long, n long, key long, bits binary, prefix array<long>"))
+    full = described.filter("n > 0")
+    sets = full.groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min("own").alias("own"))
+    bits = full.groupBy("key", "n").agg(F.any_value("bits").alias("bits"))
+    token = full.select(F.explode("prefix").alias("token"), "key", "n")
+    shared = cut_table(token.repartition("token").sortWithinPartitions("token", "key", "n").mapInArrow(shared_tokens, "token long, key long, n long, df long"))
+
+    home = shared.groupBy("key", "n").agg(F.max(F.struct("df", "token")).alias("x")).select("key", "n", F.col("x.token").alias("token"))
     home = home.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("token").orderBy("n", "key")) - 1) / cell).cast("long"))
-    body = home.join(sets.select("key", "n", "own"), ["key", "n"]).join(rows.select("own", "text"), "own").select("token", "block", "n", "key", "text")
-    body = cut_table(body)
+    home = home.join(bits, ["key", "n"]).select("token", "block", "n", "key", "bits").repartition("token", "block").sortWithinPartitions("token", "block", "n", "key")
+    home = cut_table(home.mapInArrow(lambda x: stir_cells(x, t), f"{pair}, token long, block long, active boolean"))
+    place = home.select("key", "n", F.col("token").alias("home"), F.col("block").alias("home_block"))
+    across = _blocks(shared.drop("df").join(place, ["key", "n"]).withColumn("_home", F.struct("home", "home_block")), "_home", t, cell).drop("_home")
+    crossing = _dealt(across, bits).mapInArrow(lambda x: stir_blocks(x, t), pair)
+    active = cut_table(home.filter("active").select("key", "n").unionByName(crossing).distinct().join(home.drop("active"), ["key", "n"]).join(sets.select("key", "n", "own"), ["key", "n"]))
+
+    body = cut_table(active.join(rows.select("own", "text"), "own").select("token", "block", "n", "key", "text"))
     dealt = body.repartition("token", "block").sortWithinPartitions("token", "block", "n", "key")
-    cells = cut_table(dealt.mapInArrow(lambda x: join_cells(x, words, t), "key long, n long, cell long, comp long, comp_n long, bits binary"))
-
-    placed = shared.join(cells.drop("bits"), ["key", "n"])
-    mixed = placed.groupBy("token").agg(F.min("cell").alias("c0"), F.max("cell").alias("c1"), F.min(F.struct("comp", "comp_n")).alias("p0"), F.max(F.struct("comp", "comp_n")).alias("p1")).filter("c0 <> c1 and p0 <> p1").select("token")
-    open_ = placed.join(mixed, "token").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("token").orderBy("n", "key")) - 1) / cell))
-    span = open_.groupBy("token", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    twice = span.select("token", F.col("block").alias("second"), F.col("lo").alias("lo2"))
-    blocks = span.select("token", F.col("block").alias("first"), "hi").join(twice, "token").filter((F.col("first") <= F.col("second")) & (F.col("hi") * t[1] >= F.col("lo2") * t[0])).select("token", "first", "second")
-    use = blocks.select("token", "first", "second", F.lit(0).alias("side"), F.col("first").alias("block")).unionByName(blocks.filter("first < second").select("token", "first", "second", F.lit(1).alias("side"), F.col("second").alias("block")))
-    spread = open_.join(use, ["token", "block"]).join(cells.select("key", "n", "bits"), ["key", "n"]).select("token", "first", "second", "side", "n", "key", "cell", "comp", "comp_n", "bits")
-    spread = spread.repartition("token", "first", "second").sortWithinPartitions("token", "first", "second", "side", "n", "key")
-    pairs = spread.mapInArrow(lambda x: join_blocks(x, t), "key long, n long, other_key long, other_n long").distinct()
+    cells = cut_table(dealt.mapInArrow(lambda x: join_cells(x, words, t), f"{pair}, comp long, comp_n long"))
+
+    # only what has a partner by the bounds is left; what is still apart is checked pair by pair
+    place = place.join(cells, ["key", "n"])
+    across = _blocks(shared.drop("df").join(place, ["key", "n"]).withColumn("_comp", F.struct("comp", "comp_n")), "_comp", t, cell).drop("_comp")
+    pairs = cut_table(_dealt(across, bits).mapInArrow(lambda x: join_blocks(x, t), f"{pair}, other_key long, other_n long").distinct())
     text = body.select("key", "n", "text").dropDuplicates(["key", "n"])
     other = text.select(F.col("key").alias("other_key"), F.col("n").alias("other_n"), F.col("text").alias("other_text"))
     checked = pairs.join(text, ["key", "n"]).join(other, ["other_key", "other_n"]).select("key", "n", "other_key", "other_n", "text", "other_text")
-    links = checked.mapInArrow(lambda x: check_pairs(x, words, t), "key long, n long, other_key long, other_n long")
+    links = cut_table(checked.mapInArrow(lambda x: check_pairs(x, words, t), f"{pair}, other_key long, other_n long"))
 
     comp = cells.select("key", "n", F.struct("comp", "comp_n").alias("comp"))
     mine, theirs = comp.withColumnRenamed("comp", "a"), comp.select(F.col("key").alias("other_key"), F.col("n").alias("other_n"), F.col("comp").alias("b"))
     labels = merge_components(links.join(mine, ["key", "n"]).join(theirs, ["other_key", "other_n"]).select("a", "b"))
     label = comp.join(labels.select(F.col("a").alias("comp"), "label"), "comp", "left").select("key", "n", F.coalesce("label", "comp").alias("label"))
-    known = sets.select("key", "n", "least").join(label, ["key", "n"])
-    least = label.join(known.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("key", "n", "component_id")
+    label = cut_table(label.join(sets.select("key", "n", "least"), ["key", "n"]))
+    least = label.join(label.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("key", "n", "component_id")
     final = sets.select("key", "n", "least").join(least, ["key", "n"], "left").select("key", "n", F.coalesce("component_id", "least").alias("component_id"))
     out = described.select("doc_id", "own", "n", "key").join(final, ["key", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("key").alias("set_key"), "own")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (80, 100), cell: int = 4096) -> DataFrame:
+    """One document of each component, the one with the least id, with all its
+    columns; documents without words stay, as they link with nothing."""
+    found = join_components(docs, words, threshold, cell)
+    some = found.filter("n_shingles > 0")
+    first = some.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "own")).alias("x")).select(F.col("x.own").alias("_own"))
+    stay = first.withColumn("_once", F.lit(True)).unionByName(found.filter("n_shingles = 0").select(F.col("own").alias("_own")).distinct().withColumn("_once", F.lit(False)))
+    kept = docs.withColumn("_own", F.xxhash64("doc_id", "text")).join(stay, "_own")
+    # a row repeated as it is counts once, unless it has no words
+    kept = kept.withColumn("_row", F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0)))).filter("_row = 1 or not _once")
+    return kept.select(*docs.columns)
