@@ -1 +1,5 @@
+"""Lazy image pipelines over collections of images."""
 
+from .raster import Raster
+
+__all__ = ["Raster"]
