@@ -91,23 +91,37 @@ def modulate(df, m: Modulate, channels: int):
 
     if channels < 3:
         return _put(df, px=F.array(store(_f(scaled[0] * _f(m.brightness))), *alpha))
-    eps = _f(2.0**-23)
-    df = df.withColumn("_c", F.struct(*(scaled[k].alias(n) for k, n in enumerate("rgb"))))
-    r, g, b = (F.col(f"_c.{n}") for n in "rgb")
-    df = df.withColumn("_t", F.greatest(r, g, b)).withColumn("_d", _f(F.greatest(r, g, b) - F.least(r, g, b)))
-    t, d = F.col("_t"), F.col("_d")
-    part = lambda p, q, add: _f(_f(60) * _f(_f(_f(p - q) / d) + _f(add)))
-    hue = F.when(d <= eps, _f(0)).when(t == r, _f(_f(60) * _f(_f(_f(g - b) / d) % _f(6)))).when(t == g, part(b, r, 2)).otherwise(part(r, g, 4))
-    sat = F.when(t <= eps, _f(0)).otherwise(_f(d / t))
-    df = df.withColumn("_h", _f(_f(hue + _f(m.hue)) % _f(360))).withColumn("_s", clamp(_f(sat * _f(m.saturation)))).withColumn("_v", clamp(_f(t * _f(m.brightness))))
-    df = df.withColumn("_h", F.when(F.col("_h") < 0, _f(F.col("_h") + _f(360))).otherwise(F.col("_h")))
-    df = df.withColumn("_k", _f(F.col("_h") / _f(60))).withColumn("_c", _f(F.col("_v") * F.col("_s")))
-    c, k = F.col("_c"), F.col("_k")
-    df = df.withColumn("_x", _f(c * _f(_f(1) - F.abs(_f(_f(k % _f(2)) - _f(1)))))).withColumn("_m", _f(F.col("_v") - c)).withColumn("_n", F.least(F.lit(5), _int(F.floor(k))))
-    x, z, base, n = F.col("_x"), _f(0), F.col("_m"), F.col("_n")
-    pick = lambda *of: F.when(n == 0, of[0]).when(n == 1, of[1]).when(n == 2, of[2]).when(n == 3, of[3]).when(n == 4, of[4]).otherwise(of[5])
-    rgb = [pick(c, x, z, z, x, c), pick(x, c, c, x, z, z), pick(z, z, x, c, c, x)]
-    return _put(df, px=F.array(*(store(_f(v + base)) for v in rgb), *alpha))
+    part = lambda p, q, d, add: _f(_f(60) * _f(_f(_f(p - q) / d) + _f(add)))
+    eps, z = _f(2.0**-23), _f(0)
+
+    def spread(c):
+        r, g, b = c["r"], c["g"], c["b"]
+        return F.struct(r.alias("r"), g.alias("g"), b.alias("b"), F.greatest(r, g, b).alias("t"), _f(F.greatest(r, g, b) - F.least(r, g, b)).alias("d"))
+
+    def polar(c):
+        r, g, b, t, d = (c[n] for n in "rgbtd")
+        hue = F.when(d <= eps, z).when(t == r, _f(_f(60) * _f(_f(_f(g - b) / d) % _f(6)))).when(t == g, part(b, r, d, 2)).otherwise(part(r, g, d, 4))
+        sat = F.when(t <= eps, z).otherwise(_f(d / t))
+        return F.struct(_f(_f(hue + _f(m.hue)) % _f(360)).alias("h"), clamp(_f(sat * _f(m.saturation))).alias("s"), clamp(_f(t * _f(m.brightness))).alias("v"))
+
+    def sector(c):
+        h = F.when(c["h"] < 0, _f(c["h"] + _f(360))).otherwise(c["h"])
+        return F.struct(_f(h / _f(60)).alias("k"), _f(c["v"] * c["s"]).alias("c"), c["v"].alias("v"))
+
+    def edges(c):
+        x = _f(c["c"] * _f(_f(1) - F.abs(_f(_f(c["k"] % _f(2)) - _f(1)))))
+        return F.struct(c["c"].alias("c"), x.alias("x"), _f(c["v"] - c["c"]).alias("m"), F.least(F.lit(5), _int(F.floor(c["k"]))).alias("n"))
+
+    def colors(e):
+        c, x, n = e["c"], e["x"], e["n"]
+        pick = lambda *of: F.when(n == 0, of[0]).when(n == 1, of[1]).when(n == 2, of[2]).when(n == 3, of[3]).when(n == 4, of[4]).otherwise(of[5])
+        return F.array(*(store(_f(v + e["m"])) for v in (pick(c, x, z, z, x, c), pick(x, c, c, x, z, z), pick(z, z, x, c, c, x))))
+
+    # a transform binds each intermediate once; as projections they would be inlined into expressions of many thousand terms
+    made = F.array(F.struct(*(scaled[k].alias(n) for k, n in enumerate("rgb"))))
+    for step in (spread, polar, sector, edges, colors):
+        made = F.transform(made, step)
+    return _put(df, px=F.concat(made[0], F.array(*alpha)) if alpha else made[0])
 
 
 def _sums(df: DataFrame, by: list[str], q: str, channels: int) -> DataFrame:

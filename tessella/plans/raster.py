@@ -16,6 +16,9 @@ from tessella.functions.types import RasterError, invalid
 from tessella.functions.weights import Kernel, fit
 from tessella.operators import kernels, tiles
 
+# functions, not their module, so that a chain travels to the executors by value
+KERNELS = {f.__name__: f for f in (kernels.crop, kernels.flip, kernels.flop, kernels.rotate, kernels.extract_channel, kernels.flatten, kernels.modulate, kernels.convolve)}
+
 
 @dataclass(frozen=True)
 class Raster:
@@ -93,16 +96,16 @@ class Raster:
         """The results as image rows."""
         if self.error is not None:
             raise self.error
-        steps = self.steps
+        steps, known, resize = self.steps, KERNELS, kernels.resize
 
         def chain(stack):
             for name, args in steps:
                 if name == "resize_to":
                     width, height, how_filter, how, enlarge = args
                     w, h = fit(stack.shape[2], stack.shape[1], width, height, how, enlarge)
-                    stack = kernels.resize(stack, w, h, how_filter)
+                    stack = resize(stack, w, h, how_filter)
                 else:
-                    stack = getattr(kernels, name)(stack, *args)
+                    stack = known[name](stack, *args)
             return stack
 
         return tiles.apply(self.rows, chain) if steps else self.rows
