@@ -6,7 +6,10 @@ connected components.
 
 Documents with one set are handled as one. A set that has a partner shares one
 of its |A| - ceil(t |A|) + 1 smallest hashes with it (prefix filter), so sets
-meet only where they share such a token; tokens with one set end there.
+meet only where they share such a token; tokens with one set end there. The sets
+of a token are split where their sizes are too far apart for a link, and tokens
+with the same sets count as one, so a family is not met again for each of its
+tokens.
 
 Every set goes to one cell, that of its most shared token, so a family of copies
 meets in one place. A cell holds at most `cell` sets of neighbouring sizes; so
@@ -227,30 +230,49 @@ CELL = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("comp", pa.int64()),
 HOME = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("block", pa.int64()), ("active", pa.bool_())])
 
 
-def describe(batches, words: int, t: tuple[int, int]):
-    hasher = Hasher()
+def describe(batches, words: int, t: tuple[int, int], most: int = 1 << 19):
+    """Every document's set: its key, and its bitmap and prefix where a task
+    meets the set first (or again after `most` others)."""
+    hasher, seen = Hasher(), set()
     for b in batches:
         out: list[list] = [[], [], [], []]
         for _, s in batches_of_sets(texts(b.column(2)), words, hasher):
             n = len(s)
             out[0].append(n)
             out[1].append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if n else 0)
-            out[2].append(s[: n + (-n * t[0] // t[1]) + 1].view(np.int64) if n else np.empty(0, np.int64))
-            out[3].append(bitmap(s).tobytes() if n else None)
+            new = n > 0 and (out[1][-1], n) not in seen
+            if new:
+                if len(seen) >= most:
+                    seen.clear()
+                seen.add((out[1][-1], n))
+            out[2].append(s[: n + (-n * t[0] // t[1]) + 1].view(np.int64) if new else np.empty(0, np.int64))
+            out[3].append(bitmap(s).tobytes() if new else None)
         sizes = np.cumsum([0] + [len(p) for p in out[2]]).astype(np.int32)
         prefix = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([*out[2], np.empty(0, np.int64)])))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[3], pa.binary()), prefix], schema=DOCUMENT)
 
 
-def shared_tokens(batches, most: int = 1 << 16):
-    """token, key, n (sorted) -> the rows of tokens that two sets share, with
-    how many do (`most` for that many or more: groups are streamed)."""
+def shared_tokens(batches, t: tuple[int, int], most: int = 1 << 16):
+    """token, n, key (sorted) -> the groups of sets that share a token and whose
+    sizes are near enough, each under a hash of its members, with their number
+    (`most` for that many or more: such groups are streamed under their token).
+    Tokens with the same members thus give the same rows."""
     schema = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("df", pa.int64())])
     held: np.ndarray | None = None  # rows of the last token, not written yet
     flushed = False  # whether rows of that token were written before
 
-    def write(rows, df):
-        return pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows), pa.array(df)], schema=schema)
+    def whole(rows):
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[2]), pa.array(rows[1]), pa.array(np.full(rows.shape[1], most))], schema=schema)
+
+    def split(rows):
+        token, n, key = rows
+        # no pair reaches over a gap in the sizes
+        new = np.append(True, (token[1:] != token[:-1]) | (n[:-1] * t[1] < n[1:] * t[0]))
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(token)))
+        name = mix(np.add.reduceat(mix(key.view(np.uint64) + mix(n.view(np.uint64))), begin)).view(np.int64)
+        keep = np.repeat(size > 1, size)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (np.repeat(name, size), key, n, np.repeat(size, size))], schema=schema)
 
     for b in batches:
         rows = np.stack([b.column(i).to_numpy() for i in range(3)])
@@ -262,20 +284,19 @@ def shared_tokens(batches, most: int = 1 << 16):
         fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
         rows = rows[:, fresh]
         begin = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
-        size = np.diff(np.append(begin, rows.shape[1]))
-        df = np.repeat(size, size)
-        if flushed:
-            df[: size[0]] = most
         done = begin[-1]
-        keep = df[:done] > 1
-        yield write(rows[:, :done][:, keep], df[:done][keep])
-        flushed = flushed and len(begin) == 1
+        if flushed and len(begin) > 1:
+            yield whole(rows[:, : begin[1]])
+            yield split(rows[:, begin[1] : done]) if done > begin[1] else whole(rows[:, :0])
+            flushed = False
+        elif done:
+            yield split(rows[:, :done])
         held = rows[:, done:]
         if held.shape[1] > most:
-            yield write(held[:, :-1], np.full(held.shape[1] - 1, most))
+            yield whole(held[:, :-1])
             held, flushed = held[:, -1:], True
-    if held is not None and (flushed or held.shape[1] > 1):
-        yield write(held, np.full(held.shape[1], most if flushed else held.shape[1]))
+    if held is not None and held.shape[1]:
+        yield whole(held) if flushed else split(held)
 
 
 def _maps(column) -> np.ndarray:
@@ -310,7 +331,7 @@ def stir_blocks(batches, t: tuple[int, int]):
 
 def join_cells(batches, words: int, t: tuple[int, int]):
     """token, block, n, key, text (sorted) -> CELL."""
-    hasher, out = Hasher(), []
+    hasher, out, held = Hasher(), [], 0
     for _, group in _groups(batches, 2):
         key, n = group["key"].to_numpy(), group["n"].to_numpy()
         fresh = np.ones(len(key), bool)
@@ -323,7 +344,7 @@ def join_cells(batches, words: int, t: tuple[int, int]):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=CELL)
             out = []
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=CELL)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), CELL)], schema=CELL)
 
 
 def _block_pairs(batches, t: tuple[int, int]):
@@ -427,9 +448,10 @@ def join_components(docs: DataFrame, words: int = 4, threshold: tuple[int, int]
     described = cut_table(rows.mapInArrow(lambda x: describe(x, words, t), "doc_id long, own long, n long, key long, bits binary, prefix array<long>"))
     full = described.filter("n > 0")
     sets = full.groupBy("key", "n").agg(F.min("doc_id").alias("least"), F.min("own").alias("own"))
-    bits = full.groupBy("key", "n").agg(F.any_value("bits").alias("bits"))
-    token = full.select(F.explode("prefix").alias("token"), "key", "n")
-    shared = cut_table(token.repartition("token").sortWithinPartitions("token", "key", "n").mapInArrow(shared_tokens, "token long, key long, n long, df long"))
+    token = full.select(F.explode("prefix").alias("token"), "n", "key")
+    groups = token.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(lambda x: shared_tokens(x, t), "token long, key long, n long, df long")
+    shared = cut_table(groups.distinct())
+    bits = full.filter("bits is not null").join(shared.select("key", "n").distinct(), ["key", "n"], "left_semi").groupBy("key", "n").agg(F.any_value("bits").alias("bits"))
 
     home = shared.groupBy("key", "n").agg(F.max(F.struct("df", "token")).alias("x")).select("key", "n", F.col("x.token").alias("token"))
     home = home.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("token").orderBy("n", "key")) - 1) / cell).cast("long"))
