@@ -25,7 +25,7 @@ excludes; only their texts are fetched. Round 2 checks cells on the sets
 themselves, the most alike pairs first, and skips pairs already in one
 component, so a family of n copies costs about n checks. Round 3 traverses the
 blocks across cells again, for sets whose components still differ, and checks
-the pairs that are left.
+the pairs that are left: on bitmaps of four bits a token first, then on the sets.
 
 Components of all rounds are merged by hooking to the least label and pointer
 jumping, with a checkpoint each time. Links, components and fingerprints stay
@@ -105,6 +105,14 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.uint64)
 
 
+def wide_bitmap(tokens: np.ndarray) -> bytes:
+    """A bitmap of at least four bits a token, its size a power of two."""
+    size = 1 << max(9, (4 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[tokens & np.uint64(size - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
 def ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
@@ -226,7 +234,7 @@ def _groups(batches, columns: int):
 
 
 DOCUMENT = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-CELL = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("comp", pa.int64()), ("comp_n", pa.int64())])
+CELL = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("comp", pa.int64()), ("comp_n", pa.int64()), ("wide", pa.binary())])
 HOME = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("block", pa.int64()), ("active", pa.bool_())])
 
 
@@ -339,10 +347,11 @@ def join_cells(batches, words: int, t: tuple[int, int]):
         key, n = key[fresh], n[fresh]
         sets = [s for _, s in batches_of_sets([x for x, f in zip(texts(group["text"]), fresh) if f], words, hasher)]
         comp = components(sets, np.stack([bitmap(s) for s in sets]), t)
-        out.append((key, n, key[comp], n[comp]))
-        if len(out) > 5000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=CELL)
-            out = []
+        out.append((key, n, key[comp], n[comp], np.array([wide_bitmap(s) for s in sets], object)))
+        held += sum(map(len, out[-1][4]))
+        if len(out) > 5000 or held > 32 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), CELL)], schema=CELL)
+            out, held = [], 0
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out), CELL)], schema=CELL)
 
@@ -382,6 +391,20 @@ def join_blocks(batches, t: tuple[int, int]):
         yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(n[i]), pa.array(key[j]), pa.array(n[j])], schema=PAIR)
 
 
+def screen_pairs(batches, t: tuple[int, int]):
+    """key, n, other_key, other_n, wide, other_wide -> the pairs that their wide
+    bitmaps do not exclude."""
+    for b in batches:
+        keep = []
+        for n, m, x, y in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            least = min(len(x), len(y))  # the longer one folds: bits are the tokens' lowest
+            x, y = (np.bitwise_or.reduce(v.reshape(-1, least), axis=0) for v in (x, y))
+            keep.append(min(n - int(ones(x & ~y)), m - int(ones(y & ~x))) >= _needed(n, m, t))
+        keep = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(i).filter(keep) for i in range(4)], schema=PAIR)
+
+
 def check_pairs(batches, words: int, t: tuple[int, int]):
     """key, n, other_key, other_n, text, other_text -> the linked pairs."""
     hasher = Hasher()
@@ -423,7 +446,7 @@ def _blocks(placed: DataFrame, apart: str, t: tuple[int, int], cell: int) -> Dat
     rows = rows.withColumn("block", F.floor((F.row_number().over(of.orderBy("n", "key")) - 1) / cell))
     ends = Window.partitionBy("token", "block")
     # a block meets itself and those after it whose least size is in reach; few tokens have a second block
-    rows = rows.withColumn("lo", F.min("n").over(ends)).withColumn("last", F.max("block").over(of))
+    rows = cut_table(rows.withColumn("lo", F.min("n").over(ends)).withColumn("last", F.max("block").over(of)))
     first = rows.filter("last = 0").select("*", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("second"), F.lit(0).alias("side"))
     many = rows.filter("last > 0")
     span = many.groupBy("token", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -464,12 +487,16 @@ def join_components(docs: DataFrame, words: int = 4, threshold: tuple[int, int]
 
     body = cut_table(active.join(rows.select("own", "text"), "own").select("token", "block", "n", "key", "text"))
     dealt = body.repartition("token", "block").sortWithinPartitions("token", "block", "n", "key")
-    cells = cut_table(dealt.mapInArrow(lambda x: join_cells(x, words, t), f"{pair}, comp long, comp_n long"))
+    cells = cut_table(dealt.mapInArrow(lambda x: join_cells(x, words, t), f"{pair}, comp long, comp_n long, wide binary"))
 
     # only what has a partner by the bounds is left; what is still apart is checked pair by pair
-    place = place.join(cells, ["key", "n"])
+    place = place.join(cells.drop("wide"), ["key", "n"])
     across = _blocks(shared.drop("df").join(place, ["key", "n"]).withColumn("_comp", F.struct("comp", "comp_n")), "_comp", t, cell).drop("_comp")
     pairs = cut_table(_dealt(across, bits).mapInArrow(lambda x: join_blocks(x, t), f"{pair}, other_key long, other_n long").distinct())
+    wide = cells.select("key", "n", "wide")
+    other = wide.select(F.col("key").alias("other_key"), F.col("n").alias("other_n"), F.col("wide").alias("other_wide"))
+    screened = pairs.join(wide, ["key", "n"]).join(other, ["other_key", "other_n"]).select("key", "n", "other_key", "other_n", "wide", "other_wide")
+    pairs = cut_table(screened.mapInArrow(lambda x: screen_pairs(x, t), f"{pair}, other_key long, other_n long"))
     text = body.select("key", "n", "text").dropDuplicates(["key", "n"])
     other = text.select(F.col("key").alias("other_key"), F.col("n").alias("other_n"), F.col("text").alias("other_text"))
     checked = pairs.join(text, ["key", "n"]).join(other, ["other_key", "other_n"]).select("key", "n", "other_key", "other_n", "text", "other_text")
