@@ -48,7 +48,7 @@ from .common import cut, cut_table, texts
 from .repeats import Hasher, mix
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-BITS = 512
+BITS = 2048
 CHUNK = 1 << 19
 
 
