@@ -6,13 +6,19 @@ anchors is aligned the same way, down to gaps without anchors, where equal
 words at the gap's two ends still count. Coverage is the share of the
 template's words that align.
 
-A text may hold a license more than once or deep inside other words, so it is
-cut first: stretches about as long as the template whose words, counted as a
-bag, could still reach the coverage asked for (a bound that alignment can't
-exceed) are taken from left to right, the fullest of neighbours first, and each
-is aligned on its own. Texts that lack the template's words altogether leave
-after one set intersection. Texts are scanned where they lie; nothing is
-shuffled. The templates are a parameter of a fixed size.
+A text may hold a license more than once or deep inside other words, where its
+words are no longer unique, so places are found first. The longest common
+subsequence with the template, the most that any alignment can reach, is kept
+as bits while words are read: from every start it gives the nearest end at
+which the coverage is reached, and from that end the last start. The shortest
+of these stretches is taken first, then the shortest of those to its left and
+right, until none is left; however many other words stand between, a stretch
+counts. A place then takes in further template words on both sides while the
+gap before the next is no longer than the place, and is aligned; where repeated
+words make patience miss a pair, the longest common subsequence is taken. Texts
+that lack the template's words altogether leave after one set intersection.
+Texts are scanned where they lie; nothing is shuffled. The templates are a
+parameter of a fixed size.
 
 Words are runs of letters and digits, without case. Defined results: a null or
 empty text or template gives no match; repeated rows are reported each; an
@@ -89,39 +95,108 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def longest(a: list, b: list) -> list[tuple[int, int]]:
+    """Aligned places of a longest common subsequence."""
+    rows = [[0] * (len(b) + 1)]
+    for w in a:
+        above, row = rows[-1], [0]
+        for j, v in enumerate(b):
+            row.append(above[j] + 1 if v == w else max(above[j + 1], row[j]))
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif rows[i - 1][j] >= rows[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def masks(template: list) -> dict:
+    out: dict = {}
+    for j, w in enumerate(template):
+        out[w] = out.get(w, 0) | 1 << j
+    return out
+
+
+class Common:
+    """The length of the longest common subsequence with a template of n words,
+    as words are read one by one (Hyyro's bit-parallel recurrence)."""
+
+    def __init__(self, mask: dict, n: int):
+        self.mask, self.full, self.bits, self.n = mask, (1 << n) - 1, (1 << n) - 1, n
+
+    def read(self, word) -> int:
+        both = self.bits & self.mask[word]
+        self.bits = ((self.bits + both) | (self.bits - both)) & self.full
+        return self.n - self.bits.bit_count()
+
+
 class Templates:
     def __init__(self, templates: dict[str, str], coverage: float):
         self.words = {name: WORD.findall((text or "").encode().translate(SEPARATORS)) for name, text in sorted(templates.items())}
         self.words = {name: w for name, w in self.words.items() if w}
         self.bags = {name: Counter(w) for name, w in self.words.items()}
+        self.masks = {name: (masks(w), masks(w[::-1])) for name, w in self.words.items()}
         self.all = frozenset(w for words in self.words.values() for w in words)
         self.coverage = coverage
 
-    def windows(self, words: list[bytes], name: str) -> list[tuple[int, int]]:
-        """Stretches whose bag of words could reach the coverage."""
-        bag, n = self.bags[name], len(self.words[name])
-        need, span = self.coverage * n, n + max(2, n // 4)
+    def stretches(self, words: list[bytes], places: list[int], name: str) -> list[tuple[int, int]]:
+        """The stretches that reach the coverage and hold no shorter one that
+        does, as first and last index in places."""
+        n, (ahead, back) = len(self.words[name]), self.masks[name]
+        need = max(1.0, self.coverage * n)
+        out, first = [], 0
+        while first < len(places):
+            common = Common(ahead, n)
+            end = next((k for k in range(first, len(places)) if common.read(words[places[k]]) >= need), None)
+            if end is None:
+                break
+            common = Common(back, n)
+            first = next(k for k in range(end, -1, -1) if common.read(words[places[k]]) >= need)
+            out.append((first, end))
+            first += 1
+        return out
+
+    def widened(self, words: list[bytes], places: list[int], name: str, at: tuple[int, int], lo: int, hi: int) -> tuple[int, int]:
+        """The stretch with the template words next to it, inside lo..hi."""
+        first, end = at
+        for step, mask in ((1, self.masks[name][0]), (-1, self.masks[name][1])):
+            common, best = Common(mask, len(self.words[name])), 0
+            for k in range(first, end + 1) if step == 1 else range(end, first - 1, -1):
+                best = common.read(words[places[k]])
+            for k in range(end + 1, hi + 1) if step == 1 else range(first - 1, lo - 1, -1):
+                edge = places[end] if step == 1 else places[first]
+                if abs(places[k] - edge) - 1 > places[end] - places[first] + 1:
+                    break
+                if (now := common.read(words[places[k]])) > best:
+                    best = now
+                    first, end = (first, k) if step == 1 else (k, end)
+        return first, end
+
+    def aligned(self, words: list[bytes], name: str) -> list[list[tuple[int, int]]]:
+        """The aligned pairs (place in words, place in the template) of every place."""
+        bag, template = self.bags[name], self.words[name]
         places = [i for i, w in enumerate(words) if w in bag]
-        inside: Counter = Counter()
-        good, left, scored = 0, 0, []
-        for i in places:
-            inside[words[i]] += 1
-            good += inside[words[i]] <= bag[words[i]]
-            while places[left] <= i - span:
-                w = words[places[left]]
-                good -= inside[w] <= bag[w]
-                inside[w] -= 1
-                left += 1
-            if good >= need:
-                scored.append((good, i))
-        out: list[tuple[int, int]] = []
         taken: list[tuple[int, int]] = []
-        for _, i in sorted(scored, key=lambda x: (-x[0], x[1])):
-            lo, hi = i - span + 1, i + 1
-            if not any(lo < y and x < hi for x, y in taken):
-                taken.append((lo, hi))
-                out.append((max(0, lo), hi))
-        return sorted(out)
+        for first, end in sorted(self.stretches(words, places, name), key=lambda x: (places[x[1]] - places[x[0]], x)):
+            k = bisect_left(taken, (first, end))
+            if (k == 0 or taken[k - 1][1] < first) and (k == len(taken) or end < taken[k][0]):
+                taken.insert(k, (first, end))
+        out, lo = [], 0
+        for k, at in enumerate(taken):
+            first, end = self.widened(words, places, name, at, lo, taken[k + 1][0] - 1 if k + 1 < len(taken) else len(places) - 1)
+            lo = end + 1
+            inside, common = [words[i] for i in places[first : end + 1]], Common(self.masks[name][0], len(template))
+            most = max(map(common.read, inside))
+            pairs = patience(inside, template)
+            if len(pairs) < most:
+                pairs = longest(inside, template)
+            out.append([(places[first + i], j) for i, j in pairs])
+        return out
 
     def scan(self, text: bytes) -> list[tuple[str, int, int, int, float]]:
         """license, start, end (bytes), matched words, coverage; in order of place."""
@@ -132,11 +207,9 @@ class Templates:
         for name, template in self.words.items():
             if sum(n for w, n in self.bags[name].items() if w in present) < self.coverage * len(template):
                 continue
-            for lo, hi in self.windows(words, name):
-                pairs = patience(words[lo:hi], template)
-                if len(pairs) >= self.coverage * len(template):
-                    spans = spans or [m.span() for m in WORD.finditer(folded)]
-                    out.append((name, spans[lo + pairs[0][0]][0], spans[lo + pairs[-1][0]][1], len(pairs), len(pairs) / len(template)))
+            for pairs in self.aligned(words, name):
+                spans = spans or [m.span() for m in WORD.finditer(folded)]
+                out.append((name, spans[pairs[0][0]][0], spans[pairs[-1][0]][1], len(pairs), len(pairs) / len(template)))
         return sorted(out, key=lambda x: (x[1], -x[4], x[0]))
 
 
