@@ -3,8 +3,10 @@
 Every document has two histograms, of character classes and of the common
 words of its language. Both are held against the language's reference, which
 is counted over all documents of that language, by the Jensen-Shannon distance
-(base 2, so 0 to 1). A document goes when a distance is over its limit; each
-rule speaks only above a minimum length, as short histograms are noise.
+(base 2, so 0 to 1). A document goes when a distance is over its limit. Noise
+adds about 1 / n to the square of the distance of n words, so the square of the
+word limit grows by `short` (1 / n - 1 / 100) below 100 words; the rule speaks
+from 50 words on, below which the base rules reject.
 
 Three passes read the table, and nothing but counts is shuffled: (1) words that
 make up at least one in `rare` words of a language in some partition are
@@ -16,8 +18,9 @@ against the pooled reference.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null lang is a language of its own; a repeated row is judged each time; a
-language whose reference has under `least_reference` words rejects nothing; an
-empty table gives no rows; extra columns are ignored.
+language whose reference has under `least_reference` words is held against the
+pooled reference, under `pooled_limit`, as clean text of one language is further
+from a mixture; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,7 +152,7 @@ def references(docs: DataFrame, common: int = 64, rare: int = 500, languages: in
     return out
 
 
-def verdict(reference: dict, class_limit: float, word_limit: float, least_chars: int, least_words: int, least_reference: int):
+def verdict(reference: dict, class_limit: float, word_limit: float, least_chars: int, least_words: int, least_reference: int, short: float, pooled_limit: float):
     """A function from a text and its language to the columns of JUDGED."""
 
     def of(text: bytes, lang: str | None) -> tuple:
@@ -157,18 +160,21 @@ def verdict(reference: dict, class_limit: float, word_limit: float, least_chars:
         chars, symbols, lines, repeated = base(text, counts, words)
         n = len(words)
         failed = n < 50 or 100 * repeated > 50 * n
-        classes, place, usual = reference.get(lang) or reference[POOLED]
+        own = reference.get(lang)
+        pooled = own is None or own[2].sum() < least_reference
+        classes, place, usual = reference[POOLED] if pooled else own
         by_class = by_word = None
-        if usual.sum() >= least_reference:
-            if chars >= least_chars:
-                by_class = distance(class_counts(counts), classes)
-            if n >= least_words:
-                own = np.zeros(len(usual))
-                for w, k in Counter(filter(place.__contains__, common_form(text))).items():
-                    own[place[w]] = k
-                own[-1] = max(0.0, n - own.sum())
-                by_word = distance(own, usual)
-        kept = not failed and not (by_class is not None and by_class > class_limit) and not (by_word is not None and by_word > word_limit)
+        most = pooled_limit if pooled else word_limit
+        if chars >= least_chars:
+            by_class = distance(class_counts(counts), classes)
+        if n >= least_words:
+            said = np.zeros(len(usual))
+            for w, k in Counter(filter(place.__contains__, common_form(text))).items():
+                said[place[w]] = k
+            said[-1] = max(0.0, n - said.sum())
+            by_word = distance(said, usual)
+            most = (most**2 + short * max(0.0, 1 / n - 1 / 100)) ** 0.5
+        kept = not failed and not (by_class is not None and by_class > class_limit) and not (by_word is not None and by_word > most)
         return n, chars, symbols, lines, repeated, failed, by_class, by_word, kept
 
     return of
@@ -176,12 +182,12 @@ def verdict(reference: dict, class_limit: float, word_limit: float, least_chars:
 
 JUDGED = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("class_distance", pa.float64()), ("word_distance", pa.float64()), ("kept", pa.bool_())])
 #: Limits lie between prose and list-like, shouted or symbol-ridden text.
-LIMITS = {"class_limit": 0.3, "word_limit": 0.4, "least_chars": 200, "least_words": 100, "least_reference": 5000}
+LIMITS = {"class_limit": 0.3, "word_limit": 0.4, "least_chars": 200, "least_words": 50, "least_reference": 5000, "short": 3.0, "pooled_limit": 0.5}
 
 
 def judge(docs: DataFrame, common: int = 64, languages: int = 256, **limits) -> DataFrame:
     """doc_id, the base counts, base_failed, class_distance, word_distance
-    (null below the minimum length) and kept."""
+    (null below `least_chars` and `least_words`) and kept."""
     reference = references(docs, common, languages=languages)
     limits = LIMITS | limits
 
