@@ -6,9 +6,10 @@ spread over the classes by their sizes, so an unseen feature has odds 1.
 Counts are of texts that hold a feature. Features in under `least` texts or
 under `z` standard errors (there are millions of features to be wrong about) are
 dropped. A
-word's score is its strongest feature, every other word costs `drift`. A word
-speaks once in a text, at its first place; repeats cost `drift`, or a text of
-one repeated word would count it as so many pieces of evidence.
+word's score is its strongest feature, every other word costs `drift`. Every
+occurrence scores. In a run of one word, whose occurrences stand at most `NEAR`
+words apart, the first k together count log2(1 + k) times, as they are not k
+independent pieces of evidence; a word that comes back later speaks in full.
 
 Scan. A linear pass over the words (Ruzzo and Tompa's stack of partial sums)
 finds all maximal segments, each a passage whose score cannot be raised by
@@ -48,6 +49,7 @@ from .common import rows_of, texts
 
 PUNCTUATION = b".,;:!?#$%&*|\"()'<>-"
 BINS = 400
+NEAR = 20
 
 
 def words_of(text: bytes) -> list[str]:
@@ -96,7 +98,7 @@ class Scorer:
 
     def of(self, word: str) -> float | None:
         found = [x for x in map(self.odds.get, features_of(word)) if x is not None]
-        return max(found, key=abs) - self.drift if found else None
+        return max(found, key=abs) if found else None
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, float]]]:
         words, known = words_of(text), self.known
@@ -104,11 +106,13 @@ class Scorer:
             known.clear()
         for w in set(words).difference(known):
             known[w] = self.of(w)
-        marked, said = [], set()
+        marked, runs = [], {}
         for i, s in enumerate(map(known.__getitem__, words)):
-            if s is not None and words[i] not in said:
-                said.add(words[i])
-                marked.append((i, s))
+            if s is not None:
+                last, k = runs.get(words[i], (-NEAR - 1, 0))
+                k = k + 1 if i - last <= NEAR else 1
+                runs[words[i]] = i, k
+                marked.append((i, s * (math.log2(1 + 1 / k) if k > 1 else 1.0) - self.drift))
         return len(words), marked
 
 
