@@ -7,17 +7,20 @@ once: its q-grams are looked up among the patterns' (a bit table first, then
 the sorted grams), hits are counted in overlapping diagonal bands of width 2k,
 and only bands that reach the bound are verified by banded alignment of the
 whole pattern. Patterns are the benchmark items, those above `window`
-characters cut into half-overlapping windows; k is `share` of the pattern.
+characters cut into half-overlapping windows; k is `share` of the pattern. For
+items shorter than `least` bytes k is lowered until the bound is positive. At
+k = 0 (under 2 Q bytes) an item counts where it stands exactly, between word
+borders; items under Q bytes, which have no q-gram, are looked up as numbers
+among the document's stretches of their length.
 
 Characters are UTF-8 bytes after two foldings that are no edits: ASCII capitals
 to small letters, white space to a space. Items are handled in blocks of at
 most `block` bytes, each one pass over the documents, so what travels to a
 task is bounded however large the benchmark is. Nothing is shuffled.
 
-Defined results: a null or empty text or item matches nothing; items shorter
-than `least` bytes are left out, as chance would match them; repeated rows are
-reported each; an empty table on either side gives no rows; extra columns are
-ignored.
+Defined results: a null, empty or blank text or item matches nothing; `shared`
+is 0 for items under Q bytes; repeated rows are reported each; an empty table
+on either side gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ Q = 8
 FOLD = bytes(32 if c in b"\t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("shared", pa.int32())])
 TABLE = 1 << 22
+#: Bytes of words, after folding; others, and the ends of a text, are borders.
+IN_WORD = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -51,15 +56,21 @@ class Patterns:
 
     def __init__(self, items: list[tuple[int, bytes]], share: float, window: int, least: int):
         self.item, self.text = [], []
+        short: dict[int, dict[int, list]] = {}
         for i, text in items:
             text = text.translate(FOLD).strip()
-            if len(text) >= least:
+            if 0 < len(text) < Q:
+                short.setdefault(len(text), {}).setdefault(int.from_bytes(text, "little"), []).append(i)
+            elif text:
                 cuts = [0] if len(text) <= window else [*range(0, len(text) - window, window // 2), len(text) - window]
                 for at in cuts:
                     self.item.append(i)
                     self.text.append(text[at : at + window])
-        self.edits = np.array([int(share * len(t)) for t in self.text], np.int64)
+        self.short = [(n, np.array(sorted(of), np.uint64), of) for n, of in sorted(short.items())]
         self.length = np.array([len(t) for t in self.text], np.int64)
+        self.edits = np.array([int(share * len(t)) for t in self.text], np.int64)
+        self.edits = np.where(self.length < least, np.minimum(self.edits, (self.length - Q) // Q), self.edits)
+        self.exact = (self.length < least) & (self.edits == 0)
         self.bound = np.maximum(1, self.length + 1 - Q - self.edits * Q)
         every = [grams(t) for t in self.text]
         gram = np.concatenate([*every, np.empty(0, np.uint64)])
@@ -70,6 +81,22 @@ class Patterns:
         self.table = np.zeros(TABLE, bool)
         self.table[slot(self.gram)] = True
 
+    def __bool__(self) -> bool:
+        return bool(self.text or self.short)
+
+    def brief(self, text: bytes):
+        """(item, start, end) of each place of an item without q-grams."""
+        if not self.short:
+            return
+        data = np.frombuffer(text + bytes(Q), np.uint8)
+        every = np.ndarray(len(text), "<u8", data.tobytes(), strides=(1,))
+        for n, known, of in self.short:
+            value = every[: max(0, len(text) - n + 1)] & np.uint64((1 << 8 * n) - 1)
+            for at in np.flatnonzero(known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value).tolist():
+                if bordered(text, at, at + n):
+                    for item in of[int(value[at])]:
+                        yield item, at, at + n
+
     def hits(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """pattern, place in the pattern, place in the document of each shared q-gram."""
         g = grams(text)
@@ -93,7 +120,7 @@ class Patterns:
 
     def regions(self, text: bytes):
         """(pattern, start, end, shared) of each stretch that meets the edit-budget bound."""
-        owner, place, at = self.hits(text)
+        owner, place, at = self.hits(text) if self.text else (self.length,) * 3
         if not len(owner):
             return
         width = 2 * np.maximum(1, self.edits)
@@ -118,6 +145,19 @@ class Patterns:
                     yield int(o), start, end, int(n)
 
 
+def bordered(text: bytes, start: int, end: int) -> bool:
+    """Whether no word runs over either end of a stretch."""
+    cut = lambda k: 0 < k < len(text) and IN_WORD[text[k - 1]] and IN_WORD[text[k]]
+    return not cut(start) and not cut(end)
+
+
+def exact_places(pattern: bytes, text: bytes, start: int, end: int):
+    while 0 <= (start := text.find(pattern, start, end)):
+        if bordered(text, start, start + len(pattern)):
+            yield start
+        start += 1
+
+
 def align(pattern: bytes, text: bytes, most: int, lead: int) -> tuple[int, int, int] | None:
     """Banded alignment of the whole pattern with a stretch of the text:
     (edits, start, end) if at most `most` edits do. lead: the places that the
@@ -154,6 +194,10 @@ def matches(text: bytes, patterns: Patterns) -> list[tuple[int, int, int, int, i
     folded = text.translate(FOLD)
     best: dict[tuple[int, int], tuple] = {}
     for o, start, end, shared in patterns.regions(folded):
+        if patterns.exact[o]:
+            for a in exact_places(patterns.text[o], folded, start, end):
+                best[o, -1 - a] = (0, a, a + int(patterns.length[o]), shared)
+            continue
         found = align(patterns.text[o], folded[start:end], int(patterns.edits[o]), int(2 * max(1, patterns.edits[o])) + int(patterns.edits[o]))
         if found:
             edits, a, z = found[0], start + found[1], start + found[2]
@@ -168,12 +212,13 @@ def matches(text: bytes, patterns: Patterns) -> list[tuple[int, int, int, int, i
             out[-1] = (item, min(a, last[1]), max(z, last[2]), max(edits, last[3]) if a != last[1] else min(edits, last[3]), max(shared, last[4]))
         else:
             out.append((item, a, z, edits, shared))
+    out += [(item, a, z, 0, 0) for item, a, z in patterns.brief(folded)]
     return out
 
 
 def _blocks(benchmark: DataFrame, share: float, window: int, least: int, block: int):
     """A maker of Patterns for each block of items, read one after another."""
-    items = benchmark.select("item_id", utf8("text").alias("text")).filter(F.length("text") >= least)
+    items = benchmark.select("item_id", utf8("text").alias("text")).filter(F.length("text") > 0)
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block))  # half full on average, as a hash deals unevenly
     for k in range(blocks):
@@ -193,7 +238,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, window: int
         def run(batches, make=make):
             patterns = make()
             for b in batches:
-                found = [(i, *m) for i, text in zip(b.column(0).to_pylist(), texts(b.column(1))) if text for m in matches(text, patterns)] if patterns.text else []
+                found = [(i, *m) for i, text in zip(b.column(0).to_pylist(), texts(b.column(1))) if text for m in matches(text, patterns)] if patterns else []
                 columns = list(zip(*found)) or [()] * len(FOUND)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND)], schema=FOUND)
 
@@ -209,7 +254,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, window: int
 
         def judge(make=make):
             patterns = make()
-            return lambda b: [not (text and patterns.text and matches(text, patterns)) for text in texts(b.column("text"))]
+            return lambda b: [not (text and patterns and matches(text, patterns)) for text in texts(b.column("text"))]
 
         docs = keep_rows(docs, judge)
     return docs
