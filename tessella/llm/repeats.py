@@ -126,9 +126,13 @@ def find_anchors(batches, length: int):
 
     def work(parts: list[np.ndarray], keys: list[tuple[int, int, int]]):
         part, place, anchor, start, end = anchors(parts, length, hasher)
+        key = np.array(keys, np.int64).reshape(-1, 3)
+        size = np.array([len(p) for p in parts])[part]
+        # a context that an edge of a piece clips is whole in the neighbouring piece
+        whole = ((place >= length - K) | (key[part, 2] == 0)) & ((place + length <= size) | (key[part, 2] + size == key[part, 1]))
+        part, place, anchor, start, end = (x[whole] for x in (part, place, anchor, start, end))
         if not len(part):
             return
-        key = np.array(keys, np.int64).reshape(-1, 3)
         context = hasher.of(start, end)
         begins = np.cumsum([0] + [len(p) for p in parts])[:-1]
         at = place + begins[part]
@@ -164,7 +168,7 @@ def find_anchors(batches, length: int):
                 continue
             data = np.frombuffer(text, np.uint8)
             for at in range(0, len(data), FAR):  # long texts in pieces that overlap by what a context reaches
-                lo = max(0, at - length)
+                lo = max(0, at - 2 * length)
                 parts.append(data[lo : at + FAR + 2 * length])
                 keys.append((key, len(data), lo))
                 held += len(parts[-1])
