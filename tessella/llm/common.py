@@ -58,6 +58,11 @@ def texts(column) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+def quoted(name: str) -> F.Column:
+    """A column by its name as it stands, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def utf8(column: str | F.Column) -> F.Column:
     """A text column as bytes, null as empty."""
     column = F.col(column) if isinstance(column, str) else column
