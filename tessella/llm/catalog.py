@@ -26,7 +26,7 @@ OP1_SQL = r"""
 WITH t AS (SELECT conv_id, turn, role r0, text x0, coalesce(role, '') r, coalesce(text, '') x FROM conversations
   UNION ALL SELECT -7, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok', CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) s(n)),
 e AS (SELECT *, length(replace(replace(replace(x, '\', '\b'), '<turn', '\lturn'), '</turn', '\l/turn')) lx,
-  length(replace(replace(replace(replace(r, '\', '\b'), chr(10), '\n'), '<turn', '\lturn'), '</turn', '\l/turn')) lr FROM t WHERE conv_id IS NOT NULL)
+  length(replace(replace(replace(replace(r, '\', '\b'), chr(10), '\n'), '<turn', '\lturn'), '</turn', '\l/turn')) lr FROM t)
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
   sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, x0 NULLS FIRST)) AS turns_sha256,
   CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,

@@ -74,9 +74,28 @@ def rows_of(table_or_dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(table_or_dict[f.name], f.type) for f in schema], schema=schema)
 
 
+#: What the calls of settled() that are under way have cut.
+_under_way: list[list] = []
+
+
+def settled(make) -> DataFrame:
+    """The frame that make() returns, cut; tables cut on the way to it go."""
+    mine: list = []
+    _under_way.append(mine)
+    try:
+        out = make()
+    finally:
+        _under_way.pop()
+    out = cut_table(out)
+    for remove in mine:
+        remove()
+    return out
+
+
 def cut_table(df: DataFrame) -> DataFrame:
     """As cut(), but as compressed Parquet in the same shared folder: for
-    frames whose rows would make a large checkpoint. Removed at exit."""
+    frames whose rows would make a large checkpoint. Removed at exit, or before
+    by settled()."""
     import uuid
 
     spark = df.sparkSession
@@ -94,6 +113,8 @@ def cut_table(df: DataFrame) -> DataFrame:
             pass
 
     atexit.register(remove)
+    if _under_way:
+        _under_way[-1].append(remove)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, cut_table, quoted, texts
+from .common import cut, cut_table, quoted, settled, texts
 from .repeats import Hasher, mix
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -571,7 +571,10 @@ def _links(shared: DataFrame, comp: DataFrame, bits: DataFrame, body: DataFrame,
 def join_components(docs: DataFrame, words: int = 4, threshold: tuple[int, int] = (85, 100), cell: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id and set_key of every document; own: a
     hash of the document's id and text."""
-    t = threshold
+    return settled(lambda: _components(docs, words, threshold, cell))
+
+
+def _components(docs: DataFrame, words: int, t: tuple[int, int], cell: int) -> DataFrame:
     pair = "key long, n long"
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("own"), "text")
     described = cut_table(rows.mapInArrow(lambda x: describe(x, words, t), "doc_id long, own long, n long, key long, bits binary, prefix array<long>"))
