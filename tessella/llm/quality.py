@@ -8,13 +8,13 @@ adds about 1 / n to the square of the distance of n words, so the square of the
 word limit grows by `short` (1 / n - 1 / 100) below 100 words; the rule speaks
 from 50 words on, below which the base rules reject.
 
-Three passes read the table, and nothing but counts is shuffled: (1) words that
-make up at least one in `rare` words of a language in some partition are
-proposed, (2) class counts and the proposed words' counts are summed over all
-documents, (3) every whole text is judged where it lies. What the last pass
-gets is at most `common` words and 11 classes for each of `languages`
-languages, the largest by words; documents of further languages are held
-against the pooled reference.
+Two passes read the table, and nothing but counts is shuffled: (1) classes and
+all words are counted exactly, by language, (2) every whole text is judged where
+it lies. What the second pass gets is the `common` most frequent words and 11
+counts for each of `languages` languages, the largest by words, and for all
+documents together (the pooled reference); documents of further languages are
+held against the pooled one. Ties in frequency go by the word, so the result
+does not depend on how rows are dealt out.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null lang is a language of its own; a repeated row is judged each time; a
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, keep_rows, rows_of, texts
+from .common import SPACE, cut_table, keep_rows, rows_of, texts
 
 #: Class of each UTF-8 byte; 0: continuation bytes, which count for nothing.
 CLASSES = 11
@@ -97,56 +97,53 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, parts.sum() / 2)))
 
 
-def references(docs: DataFrame, common: int = 64, rare: int = 500, languages: int = 256) -> dict:
+def references(docs: DataFrame, common: int = 64, languages: int = 256) -> dict:
     """lang -> (class counts, {word: place}, word counts with the rest last)."""
-    both = docs.select("text", "lang")
-
-    def propose(batches):
-        seen, total = defaultdict(Counter), Counter()
-        for b in batches:
-            for text, lang in zip(texts(b.column(0)), b.column(1).to_pylist()):
-                if text:
-                    words = common_form(text)
-                    total[lang] += len(words)
-                    seen[lang].update(words)
-                    if len(seen[lang]) > 400_000:  # Misra-Gries: what falls away is rarer than one in 200,000
-                        seen[lang] = Counter({w: n - 1 for w, n in seen[lang].items() if n > 1})
-        rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items() if n * rare >= total[lang]]
-        yield rows_of({"lang": [r[0] for r in rows], "word": [r[1] for r in rows], "n": [r[2] for r in rows]}, pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())]))
-
-    proposed = both.mapInArrow(propose, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    ranked = proposed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= 4 * common)
-    size = ranked.groupBy("lang").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "lang").limit(languages)
-    lexicon = defaultdict(set)
-    for lang, word in ranked.join(F.broadcast(size), ranked.lang.eqNullSafe(size.lang), "left_semi").select("lang", "word").toLocalIterator():
-        lexicon[lang].add(bytes(word))
-    every = frozenset().union(*lexicon.values()) if lexicon else frozenset()
-    lexicon = dict(lexicon)
+    counted = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
 
     def count(batches):
-        classes, words, total = defaultdict(lambda: np.zeros(CLASSES - 1)), defaultdict(Counter), Counter()
+        """Counts of all words, of classes (" 0" and so on) and of words in all
+        (" all"); what a task holds is handed on when it gets large."""
+        seen, size = defaultdict(Counter), 0
+
+        def flush():
+            rows = [(lang, w, int(n)) for lang, c in seen.items() for w, n in c.items()]
+            seen.clear()
+            return rows_of({"lang": [r[0] for r in rows], "word": [r[1] for r in rows], "n": [r[2] for r in rows]}, counted)
+
         for b in batches:
             for text, lang in zip(texts(b.column(0)), b.column(1).to_pylist()):
                 if text:
-                    key, own = (lang, lexicon[lang]) if lang in lexicon else (POOLED, every)
-                    classes[key] += class_counts(byte_counts(text))
-                    found = common_form(text)
-                    total[key] += len(found)
-                    words[key].update(filter(own.__contains__, found))
-        rows = [(k, w, n) for k, c in words.items() for w, n in c.items()]
-        rows += [(k, b" %d" % i, int(n)) for k, c in classes.items() for i, n in enumerate(c) if n] + [(k, b" all", n) for k, n in total.items()]
-        yield rows_of({"lang": [r[0] for r in rows], "word": [r[1] for r in rows], "n": [r[2] for r in rows]}, pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())]))
-
-    counts = defaultdict(dict)
-    for lang, word, n in both.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n")).toLocalIterator():
-        counts[lang][bytes(word)] = n
-    pool = Counter()
-    for c in counts.values():
-        pool.update(c)
-    counts[POOLED] = pool
+                    own, words = seen[lang], common_form(text)
+                    before = len(own)
+                    own.update(words)
+                    own[b" all"] += len(words)
+                    for i, n in enumerate(class_counts(byte_counts(text))):
+                        own[b" %d" % i] += n
+                    size += len(own) - before
+                    if size > 400_000:
+                        yield flush()
+                        size = 0
+        yield flush()
+
+    def total(rows, *by):
+        return rows.groupBy(*by).agg(F.sum("n").alias("n"))
+
+    every = cut_table(total(docs.select("text", "lang").mapInArrow(count, "lang string, word binary, n long"), "lang", "word"))
+    largest = every.filter(F.col("word") == b" all").orderBy(F.desc("n"), "lang").limit(languages).select(F.col("lang").alias("own"))
+    of_languages = every.join(largest, F.col("lang").eqNullSafe(F.col("own")), "left_semi")
+    said, kinds = F.substring("word", 1, 1) != b" ", F.substring("word", 1, 1) == b" "
+    ranked = of_languages.filter(said).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= common)
+    rows = [(r.lang, bytes(r.word), r.n) for r in ranked.select("lang", "word", "n").unionByName(of_languages.filter(kinds)).toLocalIterator()]
+    pool = total(every, "word")
+    rows += [(POOLED, bytes(r.word), r.n) for r in (*pool.filter(said).orderBy(F.desc("n"), "word").limit(common).collect(), *pool.filter(kinds).collect())]
+
+    counts: dict = {POOLED: {}}
+    for lang, word, n in rows:
+        counts.setdefault(lang, {})[word] = n
     out = {}
     for lang, c in counts.items():
-        own = sorted((w for w in c if not w.startswith(b" ")), key=lambda w: (-c[w], w))[:common]
+        own = sorted((w for w in c if not w.startswith(b" ")), key=lambda w: (-c[w], w))
         rest = c.get(b" all", 0) - sum(c[w] for w in own)
         out[lang] = (np.array([c.get(b" %d" % i, 0) for i in range(CLASSES - 1)], float), {w: i for i, w in enumerate(own)}, np.array([c[w] for w in own] + [rest], float))
     return out
