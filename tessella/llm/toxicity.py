@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, texts
+from .common import cut_table, rows_of, texts
 
 PUNCTUATION = b".,;:!?#$%&*|\"()'<>-"
 BINS = 400
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 200_000, features: int
     """labels: doc_id, toxic (0 or 1), the rows that may be learnt from."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
+    train = cut_table(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"))  # at most `sample` ids
 
     def count(batches):
         seen = {0: Counter(), 1: Counter()}
