@@ -6,10 +6,11 @@ further shard only takes rows to itself: on average weight / total of them.
 Hashing runs inside the scan; only keys and sizes are shuffled, to number the
 rows inside each shard.
 
-Slots are gapless without putting a shard into one task: rows fall into
-`buckets` by a hash of the row, bucket sizes give each bucket's first slot
-(shards x buckets numbers, a fixed bound, so that table is broadcast), and rows
-are numbered inside their bucket.
+Slots are gapless without putting a shard into one task: rows (without texts)
+are written once, fall into `buckets` by a hash of the key and their place
+there, so that repeated rows spread too; bucket sizes give each bucket's first
+slot (shards x buckets numbers, a fixed bound, so that table is broadcast), and
+rows are numbered inside their bucket.
 
 Defined results: a null key is a key like others; a null text has no bytes;
 rows that repeat a key go to the same shard and get slots of their own; an
@@ -23,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import cut_table, quoted, utf8
 
 
 def rendezvous(key: Sequence[Column], weights: Sequence[float]) -> Column:
@@ -39,15 +40,17 @@ def shard(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", text:
     """key, size, text_crc32, shard, slot and grown_shard (with one more shard
     of mean weight)."""
     grown = [*weights, sum(weights) / len(weights)]
-    body = utf8(text)
+    body = utf8(quoted(text))
+    name = quoted(key)
     rows = docs.select(
-        F.col(key), (F.length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
-        rendezvous([F.col(key)], weights).cast("int").alias("shard"), rendezvous([F.col(key)], grown).cast("int").alias("grown_shard"),
-        F.xxhash64(*[F.col(c) for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")]).alias("_hash"),
-    ).withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(buckets)).cast("int"))
+        name.alias("_key"), (F.length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
+        rendezvous([name], weights).cast("int").alias("shard"), rendezvous([name], grown).cast("int").alias("grown_shard"),
+    )
+    rows = cut_table(rows).withColumn("_hash", F.xxhash64("_key", "text_crc32", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(buckets)).cast("int"))
     filled = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = filled.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("shard", "_bucket").orderBy("_hash", key, "size", "text_crc32")
+    inside = Window.partitionBy("shard", "_bucket").orderBy("_hash", "_key", "size", "text_crc32")
     placed = rows.withColumn("_slot", F.row_number().over(inside) - 1).join(F.broadcast(first), ["shard", "_bucket"])
-    return placed.select(key, "size", "text_crc32", "shard", (F.col("_first") + F.col("_slot")).cast("long").alias("slot"), "grown_shard")
+    return placed.select(F.col("_key").alias(key), "size", "text_crc32", "shard", (F.col("_first") + F.col("_slot")).cast("long").alias("slot"), "grown_shard")
