@@ -6,13 +6,16 @@ one. Let N(g) be the number of open sequences with g free tokens. A piece of
 length s goes where the sum of N(g)^2 becomes least: into a sequence with gap
 h >= s (N(h) falls, N(h - s) rises) or into a new one. That keeps many
 different gaps open, so later pieces find an exact fit; a full sequence (gap 0)
-closes and leaves the sum. Three orders of the pieces are tried and the one with
-the fewest sequences is kept.
+closes and leaves the sum. Pieces come in falling order of length, and a new
+sequence is opened only where no gap fits; if that misses the lower bound (all
+tokens over `capacity`), the order of a hash with new sequences at will is tried
+too, and the fewer sequences win.
 
 Tokenizing runs in the scan and emits 40 bytes for each piece; only these are
-kept (in the shared checkpoint) and dealt out by a hash of the document, about
-`group` pieces to a task. Each group is packed on its own, at a cost of about
-one open sequence each.
+kept (in the shared checkpoint) and dealt out by a hash of the piece and its
+place there, about `group` pieces to a task, so that repeated rows spread as
+well. Each group is packed on its own, at a cost of about one open sequence
+each.
 
 Defined results: a null or empty text is one piece of length 1; repeated rows
 are packed each; an empty table gives no rows; extra columns are ignored.
@@ -55,8 +58,10 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: tuple[str, str] |
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each length, in the order given."""
+def sum_of_squares(lengths: np.ndarray, capacity: int, sparing: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of each length, in the order given. sparing: a new
+    sequence only where no gap fits."""
+    never = np.iinfo(np.int64).max
     count = np.zeros(capacity + 1, np.int64)
     open_at: list[list[int]] = [[] for _ in range(capacity + 1)]
     sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
@@ -65,10 +70,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         # the change of the sum is 2 * (N(h - s) - N(h)) + 2 for an open gap h > s, 1 - 2 * N(s) for an exact
         # fit, 2 * N(capacity - s) + 1 for a new sequence; among equals the tightest gap wins
         best, at = (2 * count[capacity - s] + 1, -1) if s < capacity else (0, -1)
+        if sparing:
+            best = never - 1
         if count[s] and 1 - 2 * count[s] <= best:
             best, at = 1 - 2 * count[s], s
         if s < capacity:
-            change = np.where(count[s + 1 : capacity], 2 * (count[1 : capacity - s] - count[s + 1 : capacity]) + 2, np.iinfo(np.int64).max)
+            change = np.where(count[s + 1 : capacity], 2 * (count[1 : capacity - s] - count[s + 1 : capacity]) + 2, never)
             if len(change):
                 h = int(change.argmin())
                 if change[h] < best or change[h] == best and at < 0:
@@ -85,21 +92,21 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return sequence, offset
 
 
-def orders(lengths: np.ndarray, capacity: int):
-    """Orders to try; none is best for every mix of lengths."""
-    at = np.arange(len(lengths))
-    yield at
-    large = lengths > capacity // 2
-    yield np.concatenate([at[large][np.argsort(-lengths[large], kind="stable")], at[~large]])
-    small = lengths <= capacity // 3
-    yield np.concatenate([at[~small], at[small][np.argsort(-lengths[small], kind="stable")]])
+def fewest(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the lengths, and the sequence and offset of each in it."""
+    falling = np.argsort(-lengths, kind="stable")
+    best = falling, *sum_of_squares(lengths[falling], capacity, sparing=True)
+    if best[1].max() + 1 > -(-int(lengths.sum()) // capacity):
+        other = np.arange(len(lengths)), *sum_of_squares(lengths, capacity)
+        best = min(best, other, key=lambda x: x[1].max())
+    return best
 
 
-def pack(docs: DataFrame, capacity: int = 2048, group: int = 500_000, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, group: int = 200_000, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """Every piece with its sequence_id and offset."""
     cutted = cut(pieces(docs, capacity, vocabulary))
     groups = max(1, -(-cutted.count() // group))
-    dealt = cutted.repartition(groups, F.xxhash64("doc_id", "ids_crc32", "length", "start"))
+    dealt = cutted.repartition(groups, F.xxhash64("doc_id", "ids_crc32", "length", "start", F.monotonically_increasing_id()))
 
     def run(batches):
         batches = list(batches)
@@ -110,13 +117,7 @@ def pack(docs: DataFrame, capacity: int = 2048, group: int = 500_000, vocabulary
             return
         # crc, id and place put the pieces into an order that is as good as random and always the same
         found = found.sort_by([(c, "ascending") for c in ("ids_crc32", "doc_id", "piece", "start", "length")])
-        lengths = found["length"].to_numpy()
-        best = None
-        for order in orders(lengths, capacity):
-            sequence, offset = sum_of_squares(lengths[order], capacity)
-            if best is None or sequence.max() < best[1].max():
-                best = order, sequence, offset
-        order, sequence, offset = best
+        order, sequence, offset = fewest(found["length"].to_numpy(), capacity)
         found = found.take(pa.array(order)).append_column("sequence_id", pa.array(sequence + (TaskContext.get().partitionId() << 40))).append_column("offset", pa.array(offset))
         yield from found.cast(PLACED).to_batches(max_chunksize=50_000)
 
