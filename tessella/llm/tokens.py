@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cached, rows_of
+from .common import cached, cut, rows_of
 
 #: Characters on which the two pattern engines classify letters, digits and
 #: white space alike.
@@ -87,6 +87,7 @@ def context_table(histogram: DataFrame, block: int = 1024) -> DataFrame:
     length, docs_over (longer), docs_within, tokens_within (of documents that
     fit), tokens_total (of all), tokens_truncated (of all, cut at the limit)
     and share_within (the quantile that the length is)."""
+    histogram = cut(histogram)  # read more than once below, and made by tokenizing every text
     rows = histogram.withColumn("_block", F.floor(F.col("n_tokens") / block)).withColumn("_t", F.col("n_tokens") * F.col("n_docs"))
     sums = rows.groupBy("_block").agg(F.sum("n_docs").alias("_bd"), F.sum("_t").alias("_bt"))
     later = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each 1024 lengths
@@ -103,14 +104,17 @@ def context_table(histogram: DataFrame, block: int = 1024) -> DataFrame:
 
 def at_limits(contexts: DataFrame, limits: list[int]) -> DataFrame:
     """docs_within, tokens_total and tokens_truncated at any context limits."""
-    wanted = contexts.sparkSession.createDataFrame([(int(x),) for x in limits], "context long")
-    below = wanted.join(contexts, contexts.n_tokens <= wanted.context, "left").groupBy("context").agg(F.max(F.struct("n_tokens", "docs_within", "docs_over", "tokens_within")).alias("x"))
-    total = contexts.agg(F.max("tokens_total").alias("tokens_total"), F.max("docs_within").alias("_all"))
-    over = F.coalesce(F.col("x.docs_over"), F.col("_all"))
-    return below.crossJoin(F.broadcast(total)).select("context", F.coalesce("x.docs_within", F.lit(0)).alias("docs_within"), "tokens_total", (F.coalesce("x.tokens_within", F.lit(0)) + over * F.col("context")).alias("tokens_truncated"))
+    some = F.array(*(F.lit(int(x)).cast("long") for x in limits))
+    held = contexts.select(F.explode(F.filter(some, lambda x: x >= F.col("n_tokens"))).alias("context"), F.struct("n_tokens", "docs_within", "docs_over", "tokens_within").alias("x"))
+    none = F.lit(None).cast(held.schema["x"].dataType)
+    wanted = contexts.sparkSession.createDataFrame([(int(x),) for x in limits], "context long").select("context", none.alias("x"))
+    below = held.unionByName(wanted).groupBy("context").agg(F.max("x").alias("x"))
+    total, docs = contexts.agg(F.max("tokens_total"), F.max("docs_within")).first()  # two numbers
+    over = F.coalesce(F.col("x.docs_over"), F.lit(docs))
+    return below.select("context", F.coalesce("x.docs_within", F.lit(0)).alias("docs_within"), F.lit(total).cast("long").alias("tokens_total"), (F.coalesce("x.tokens_within", F.lit(0)) + over * F.col("context")).alias("tokens_truncated"))
 
 
 def quantiles(contexts: DataFrame, shares: list[float]) -> DataFrame:
     """The least length that holds each share of the documents."""
-    wanted = contexts.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    return wanted.join(contexts, contexts.share_within >= wanted.share).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    some = F.array(*(F.lit(float(x)) for x in shares))
+    return contexts.select("n_tokens", F.explode(F.filter(some, lambda x: x <= F.col("share_within"))).alias("share")).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
