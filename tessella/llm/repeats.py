@@ -30,7 +30,8 @@ handled once.
 Defined results: a null text is empty, has no strings and nothing removed;
 repeated rows are copies of each other, so all of a text of at least `length`
 bytes goes; null and repeated doc_id are fine; an empty table gives no rows;
-further columns of docs are carried along.
+further columns of docs are carried along, whatever their names; only columns
+named kept and spans make way for the results.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_table, texts, utf8
+from .common import cut_table, quoted, settled, texts, utf8
 from .suffixes import Rows, repeated_starts
 
 K = 16
@@ -341,39 +342,45 @@ def cut_spans(batches, at: int, in_place: bool = False):
 
 
 def _marked(docs: DataFrame, length: int, memory: int) -> DataFrame:
-    """The columns of docs (text last), the stretches found in the text and
-    whether all of it goes."""
+    """_row (the other columns of docs), text, the stretches found in the text
+    and whether all of it goes."""
     others = [c for c in docs.columns if c != "text"]
-    keyed = docs.select(*others, "text").withColumn("_key", F.xxhash64("text")).withColumn("_n", F.length(utf8("text")).cast("long"))
-    long = keyed.filter(F.col("_n") >= length)
+    row = F.struct(*map(quoted, others)) if others else F.struct(F.lit(0))
+    keyed = docs.select(row.alias("_row"), "text", F.xxhash64("text").alias("_key"), F.length(utf8("text")).cast("long").alias("_n"))
+    own = F.xxhash64(*([F.col("_row.doc_id")] if "doc_id" in others else []), F.col("_key"))
+    marks = settled(lambda: _marks(keyed.filter(F.col("_n") >= length).withColumn("_own", own), length, memory))
+    return keyed.join(marks, ["_key", "_n"], "left").select("_row", "text", F.when(~F.col("_all"), F.col("_found")).alias("_found"), F.coalesce("_all", F.lit(False)).alias("_all"))
+
+
+def _marks(long: DataFrame, length: int, memory: int) -> DataFrame:
+    """_key, _n (of a text), _found (the stretches to remove) and _all (the text
+    has copies, so all of it goes)."""
 
     found = long.select("_key", "text").mapInArrow(lambda x: find_anchors(x, length), "anchor long, context long, text_key long, n_bytes long, place long, span long")
     dealt = found.repartition("anchor").sortWithinPartitions("anchor", "context", "text_key", "n_bytes", "place", "span")
     judged = cut_table(dealt.mapInArrow(lambda x: judge_contexts(x, length), "text_key long, n_bytes long, anchor long, start long, end long"))
 
     # one row for each text: the least of its documents' own hashes; a text said to hold many places stays one row
-    own = F.xxhash64(*([F.col("doc_id")] if "doc_id" in others else []), F.col("_key"))
-    classes = long.select("_key", "_n", own.alias("_own")).groupBy("_key", "_n").agg(F.count(F.lit(1)).alias("_copies"), F.min("_own").alias("_own"))
+    classes = long.groupBy("_key", "_n").agg(F.count(F.lit(1)).alias("_copies"), F.min("_own").alias("_own"))
     wanted = judged.filter("anchor is not null").groupBy(F.col("text_key").alias("_key"), F.col("n_bytes").alias("_n")).agg(F.collect_set(F.struct("anchor", F.col("start").alias("place"))).alias("places"))
     wanted = wanted.join(classes.select("_key", "_n", "_own"), ["_key", "_n"])
-    bodies = long.select("_key", "_n", own.alias("_own"), "text").join(wanted, ["_key", "_n", "_own"]).select("_key", "_n", "text", "places")
+    bodies = long.select("_key", "_n", "_own", "text").join(wanted, ["_key", "_n", "_own"]).select("_key", "_n", "text", "places")
     contexts = bodies.mapInArrow(lambda x: cut_contexts(x, length), "anchor long, text_key long, n_bytes long, place long, context binary")
     contexts = contexts.repartition("anchor")
     edges = contexts.mapInArrow(lambda x: sort_contexts(x, length, memory), "text_key long, n_bytes long, anchor long, start long, end long")
 
     spans = judged.filter("anchor is null").unionByName(edges).groupBy(F.col("text_key").alias("_key"), F.col("n_bytes").alias("_n")).agg(F.collect_set(F.struct("start", "end")).alias("_found"))
     marks = spans.join(classes.filter("_copies > 1").select("_key", "_n", F.lit(True).alias("_all")), ["_key", "_n"], "full_outer")
-    joined = keyed.join(marks.withColumn("_all", F.coalesce("_all", F.lit(False))), ["_key", "_n"], "left").select(*others, "text", F.when(~F.col("_all"), F.col("_found")).alias("_found"), F.coalesce("_all", F.lit(False)).alias("_all"))
-    return joined
+    return marks.select("_key", "_n", F.when(F.col("_all").isNull(), F.col("_found")).alias("_found"), F.coalesce("_all", F.lit(False)).alias("_all"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, memory: int = 64 << 20) -> DataFrame:
     """The columns of docs (text last), kept (the bytes left) and spans (the
     byte ranges removed)."""
-    joined = _marked(docs, length, memory)
-    place = len(docs.columns) - 1
-    out = T.StructType([*joined.schema.fields[: place + 1], T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    return joined.mapInArrow(lambda x: cut_spans(x, place), out)
+    joined = _marked(docs.drop("kept", "spans"), length, memory)
+    out = T.StructType([*joined.schema.fields[:2], T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    done = joined.mapInArrow(lambda x: cut_spans(x, 1), out)
+    return done.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in ("text", "kept", "spans")), "text", "kept", "spans")
 
 
 def without_repeats(docs: DataFrame, length: int = 200, memory: int = 64 << 20) -> DataFrame:
@@ -381,8 +388,11 @@ def without_repeats(docs: DataFrame, length: int = 200, memory: int = 64 << 20)
     part goes; a null text stays null; n_chars, if there is one, is counted
     anew."""
     joined = _marked(docs, length, memory)
-    place = len(docs.columns) - 1
-    done = joined.mapInArrow(lambda x: cut_spans(x, place, in_place=True), T.StructType(joined.schema.fields[: place + 1]))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    done = joined.mapInArrow(lambda x: cut_spans(x, 1, in_place=True), T.StructType(joined.schema.fields[:2]))
+
+    def column(name):
+        if name == "n_chars":
+            return F.length("text").cast(docs.schema[name].dataType)
+        return F.col("text") if name == "text" else F.col("_row")[name]
+
+    return done.select(*(column(c).alias(c) for c in docs.columns))
