@@ -6,9 +6,13 @@ Images are the rasters of `sources.fixtures`. Every query gives samples
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella import codecs
+from tessella.codecs import gif, png, raw, tiff
+from tessella.functions.types import Descriptor, EncodeOptions, descriptor_of
 from tessella.functions.weights import FILTERS, Kernel, weights
 from tessella.operators import color, frames, kernels, relational as R, tiles
 from tessella.plans import Raster
@@ -26,7 +30,7 @@ def _add(name: str, query, sql: str | None = None) -> None:
 
 def _ctes(source: str, steps: list[str], last: str = "SELECT image_id, y, x, c, CAST(v AS INT) AS v FROM s{n}") -> str:
     """s0: the source's samples; s1, s2, ...: what each step makes of s{n-1}."""
-    out = [f"s0 AS ({fixtures.SQL[source]})"] + [f"s{k + 1} AS ({s.replace('{s}', f's{k}')})" for k, s in enumerate(steps)]
+    out = [f"s0 AS MATERIALIZED ({fixtures.SQL[source]})"] + [f"s{k + 1} AS MATERIALIZED ({s.replace('{s}', f's{k}')})" for k, s in enumerate(steps)]
     return "WITH " + ",\n".join(out) + "\n" + last.replace("{n}", str(len(steps)))
 
 
@@ -136,7 +140,7 @@ _on("chain_relational", "emb8", lambda d: R.rotate(R.convolve(R.resize(d, 6, 4,
 
 def _images(spark: SparkSession, sf: str, source: str) -> Raster:
     make, channels = FIXTURES[source]
-    return Raster(tiles.from_pixels(make(spark, sf), {1: "gray8", 3: "rgb8", 4: "rgba8"}[channels]))
+    return Raster(tiles.from_samples(make(spark, sf), {1: "gray8", 3: "rgb8", 4: "rgba8"}[channels]))
 
 
 def _arrays(name: str, source: str, op, *steps: str) -> None:
@@ -149,7 +153,7 @@ _arrays("arrays_flatten_modulate", "emb4", lambda r: r.modulate(1.25, 0.75, 40.0
 _arrays("arrays_thumbnail", "emb8", lambda r: r.thumbnail(4, 6), *resize_sql([8], [8], 4, 4, "lanczos3"))
 _add(
     "metadata", lambda spark, sf: _images(spark, sf, "part_rgb").metadata(),
-    "SELECT p_partkey AS image_id, p_size AS width, CAST(1 + p_partkey % 16 AS INT) AS height, 'rgb8' AS pixel FROM part WHERE p_partkey <= 200",
+    "SELECT p_partkey AS image_id, p_size AS width, CAST(1 + p_partkey % 16 AS INT) AS height, 'rgb8' AS pixel FROM part",
 )
 
 # colour, chroma, palettes
@@ -192,6 +196,50 @@ _add(
     _ctes("emb8", [], "SELECT image_id, y, x, " + ", ".join(f"GREATEST(1, LEAST(255, (v * {5000 // q if q < 50 else 200 - 2 * q} + 50) // 100)) AS q{q}" for q in (10, 50, 90)) + " FROM s0"),
 )
 
+# what file formats are made of
+_on("bit_unpack", "emb8", lambda d: color.bit_unpack(d, 2), "SELECT image_id, 32 AS width, height, y, x * 4 + k AS x, c, (((v >> (6 - 2 * k)) & 3) * 255 + 1) // 3 AS v FROM {s} CROSS JOIN (VALUES (0), (1), (2), (3)) t(k)")
+_on(
+    "palette_expand", "emb8", lambda d: color.palette_expand(d.withColumn("px", F.array(F.col("px")[0] % len(PALETTE))), PALETTE, [0, 77, 200]),
+    f"SELECT image_id, width, height, y, x, k.c, CASE k.c WHEN 0 THEN p.r WHEN 1 THEN p.g WHEN 2 THEN p.b ELSE COALESCE(t.a, 255) END AS v FROM {{s}} s CROSS JOIN (VALUES (0), (1), (2), (3)) k(c) JOIN (VALUES {', '.join(f'({i}, {r}, {g}, {b})' for i, (r, g, b) in enumerate(PALETTE))}) p(i, r, g, b) ON p.i = s.v % {len(PALETTE)} LEFT JOIN (VALUES (0, 0), (1, 77), (2, 200)) t(i, a) ON t.i = p.i",
+)
+_add(
+    "png_filter_choice", lambda spark, sf: color.filter_choice(fixtures.emb8(spark, sf)),
+    _ctes("emb8", [], """, n AS (SELECT image_id, y, x, v, COALESCE(LAG(v) OVER (PARTITION BY image_id, y ORDER BY x), 0) a, COALESCE(LAG(v) OVER (PARTITION BY image_id, x ORDER BY y), 0) b FROM s0),
+m AS (SELECT *, COALESCE(LAG(b) OVER (PARTITION BY image_id, y ORDER BY x), 0) c FROM n),
+g AS (SELECT image_id, y, k, (v - CASE k WHEN 0 THEN 0 WHEN 1 THEN a WHEN 2 THEN b WHEN 3 THEN (a + b) // 2 ELSE CASE WHEN abs(b - c) <= abs(a - c) AND abs(b - c) <= abs(a + b - 2 * c) THEN a WHEN abs(a - c) <= abs(a + b - 2 * c) THEN b ELSE c END END + 256) % 256 AS d FROM m CROSS JOIN (VALUES (0), (1), (2), (3), (4)) f(k)),
+h AS (SELECT image_id, y, k, SUM(CASE WHEN d > 127 THEN 256 - d ELSE d END) AS s FROM g GROUP BY image_id, y, k)
+SELECT image_id, y, arg_min(k, s * 8 + k) AS filter FROM h GROUP BY image_id, y""").replace("\n, n AS", ", n AS"),
+)
+_add(
+    "tile_grid", lambda spark, sf: color.tile_grid(fixtures.part_sizes(spark, sf), 16, 4, 10, 3, 25, 9),
+    """SELECT image_id, CAST(r * ((width + 15) // 16) + c AS INT) AS chunk, CAST(c * 16 AS INT) AS x, CAST(r * 4 AS INT) AS y
+  FROM (SELECT p_partkey image_id, p_size width, CAST(1 + p_partkey % 16 AS INT) height FROM part) CROSS JOIN (SELECT UNNEST(RANGE(0, 4)) r) CROSS JOIN (SELECT UNNEST(RANGE(0, 4)) c)
+  WHERE c * 16 < width AND r * 4 < height AND c * 16 < 35 AND c * 16 + 16 > 10 AND r * 4 < 12 AND r * 4 + 4 > 3 AND width > 10 AND height > 3""",
+)
+
+
+def _round_trip(name: str, source: str, write, sql: str | None = None) -> None:
+    """Every image written as a file and read again; write: (array, image_id) -> bytes."""
+
+    def step(batches):
+        for b in batches:
+            rows = []
+            for i, *x in zip(*(b.column(k).to_pylist() for k in range(5))):
+                d = Descriptor(*x[:3])
+                data = write(tiles.decode_row(*x), i)
+                out = raw.decode(data, d, d.row_bytes + 3) if name == "raw_round_trip" else codecs.decode(data)
+                rows.append((i, out.shape[1], out.shape[0], descriptor_of(out).pixel, np.ascontiguousarray(out).tobytes()))
+            yield tiles.batch_of(rows)
+
+    _add(name, lambda spark, sf: tiles.to_samples(_images(spark, sf, source).images().mapInArrow(step, tiles.IMAGE)), sql or ORACLES[f"source_{source}"])
+
+
+_round_trip("png_round_trip", "part_rgb", lambda a, i: png.encode(a))
+_round_trip("png_unfilter", "emb4", lambda a, i: png.encode(a, filters=[(i + y) % 5 for y in range(len(a))]))
+_round_trip("tiff_round_trip", "part_rgb", lambda a, i: tiff.encode(a, tile=16 if i % 2 else None, compression=(tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS)[i % 4], predictor=1 + i // 4 % 2, order="<>"[i // 8 % 2]))
+_round_trip("gif_round_trip", "emb8", lambda a, i: gif.encode(a, EncodeOptions(100)), _ctes("emb8", ["SELECT s.image_id, width, height, y, x, k.c, CASE k.c WHEN 3 THEN 255 ELSE v END AS v FROM {s} s CROSS JOIN (VALUES (0), (1), (2), (3)) k(c)"]))
+_round_trip("raw_round_trip", "emb4", lambda a, i: raw.encode(a, stride=a[0].nbytes + 3))
+
 # animations
 _add("frames", fixtures.event_frames, fixtures.SQL["event_frames"])
 _add("frames_last_drawn", lambda spark, sf: frames.last_drawn(fixtures.event_frames(spark, sf)), f"SELECT image_id, y, x, arg_max(idx, frame_no) AS idx FROM ({fixtures.SQL['event_frames']}) GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY image_id, y, x"))
@@ -201,6 +249,7 @@ SELECT image_id, y, x, idx FROM g WHERE n = 1 AND (disposal <> 2 OR frame_no = l
 _add("canvas_streamed", lambda spark, sf: frames.final_canvas(fixtures.event_frames(spark, sf)), _CANVAS)
 _add("canvas_by_windows", lambda spark, sf: frames.canvas_by_windows(fixtures.event_frames(spark, sf)), _CANVAS)
 
+# The first bytes of files, and the formats they show.
 # sniffing: every document stands for a file that starts with one of these
 HEADS = ("89504e470d0a1a0a0000", "474946383961", "474946383761ff", "ffd8ffe0", "49492a0008", "4d4d002a", "524946460000000057454250", "000000186674797061766966000000006d696631", "000000186674797078787878000000006d696631", "0000", "")
 NAMES = ("png", "gif", "gif", "jpeg", "tiff", "tiff", "webp", "avif", "avif", None, None)

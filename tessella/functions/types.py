@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 
 CODES = ("io", "malformed", "unsupported", "limit_exceeded", "invalid_argument", "graph")
-MAX_PIXELS = 268_402_689
+MAX_CELLS = 268_402_689
 FORMATS = ("raw", "png", "jpeg", "gif", "tiff", "webp", "avif")
 
 
@@ -49,7 +49,7 @@ class Pixel:
 
 
 # The nine pixel formats.
-PIXELS = {
+LAYOUTS = {
     p.name: p
     for p in (
         Pixel("gray8", 1, "u1"), Pixel("graya8", 2, "u1"), Pixel("rgb8", 3, "u1"), Pixel("rgba8", 4, "u1"), Pixel("gray16", 1, "<u2"),
@@ -59,13 +59,13 @@ PIXELS = {
 
 
 def pixel(name: str) -> Pixel:
-    if name not in PIXELS:
+    if name not in LAYOUTS:
         raise RasterError("unsupported", f"pixel format {name!r}")
-    return PIXELS[name]
+    return LAYOUTS[name]
 
 
 def pixel_of(channels: int, dtype: str) -> Pixel:
-    for p in PIXELS.values():
+    for p in LAYOUTS.values():
         if p.channels == channels and p.dtype[-2:] == dtype[-2:]:
             return p
     raise RasterError("unsupported", f"{channels} channels of {dtype}")
@@ -108,13 +108,13 @@ class Region:
 
 @dataclass(frozen=True)
 class Limits:
-    max_pixels: int = MAX_PIXELS
+    max_cells: int = MAX_CELLS
 
     def check(self, width: int, height: int) -> None:
         if width <= 0 or height <= 0:
-            raise invalid(f"an image of {width}x{height} has no pixels")
-        if width * height > self.max_pixels:
-            raise RasterError("limit_exceeded", f"{width}x{height} is over {self.max_pixels} pixels")
+            raise invalid(f"an image of {width}x{height} has no cells")
+        if width * height > self.max_cells:
+            raise RasterError("limit_exceeded", f"{width}x{height} is over {self.max_cells} cells")
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ class Descriptor:
     def __post_init__(self):
         pixel(self.pixel)
         if self.width <= 0 or self.height <= 0:
-            raise invalid(f"an image of {self.width}x{self.height} has no pixels")
+            raise invalid(f"an image of {self.width}x{self.height} has no cells")
 
     @property
     def region(self) -> Region:

@@ -35,7 +35,7 @@ def to_rgb(df: DataFrame) -> DataFrame:
 def box_shrink(df: DataFrame, across: int, down: int, channels: int) -> DataFrame:
     """Means of boxes, rounded; the last pixel of a line stands in beyond the edge."""
     w, h = F.expr(f"cast((width + {across - 1}) div {across} as int)"), F.expr(f"cast((height + {down - 1}) div {down} as int)")
-    # how often a pixel counts: edge pixels fill up their box
+    # how often a pixel counts: edge cells fill up their box
     times = F.expr(f"(1 + if(x = width - 1, {across - 1} - x % {across}, 0)) * (1 + if(y = height - 1, {down - 1} - y % {down}, 0))")
     at = df.select("image_id", w.alias("width"), h.alias("height"), F.expr(f"cast(y div {down} as int)").alias("y"), F.expr(f"cast(x div {across} as int)").alias("x"), "px", times.alias("_t"))
     sums = at.groupBy("image_id", "width", "height", "y", "x").agg(*(F.sum(F.col("px")[k] * F.col("_t")).alias(f"_{k}") for k in range(channels)))
@@ -58,7 +58,7 @@ def nearest_entry(df: DataFrame, palette: list[tuple[int, int, int]]) -> DataFra
     """image_id, y, x, idx: the closest entry of a palette of at most 256
     colours, the first of equals; each pixel is a projection, no join."""
     if not 1 <= len(palette) <= 256:
-        raise ValueError("a palette has 1 to 256 entries")
+        raise invalid("a palette has 1 to 256 entries")
     table = F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(v).alias(c) for v, c in zip(e, "rgb"))) for i, e in enumerate(palette)))
     px = [F.col("px")[k] for k in range(3)]
 
@@ -101,3 +101,65 @@ def quality_step(base: Column, quality: int) -> Column:
     """A quantisation step at a quality from 1 to 100."""
     scale = 5000 // quality if quality < 50 else 200 - 2 * quality
     return F.least(F.lit(255), F.greatest(F.lit(1), F.floor((base * scale + 50) / 100))).cast("int")
+
+
+def bit_unpack(df: DataFrame, depth: int) -> DataFrame:
+    """Bytes of packed samples of 1, 2 or 4 bits, high bits first, as 8-bit
+    samples over the whole range."""
+    if depth not in (1, 2, 4):
+        raise invalid(f"packed samples of {depth} bits")
+    each, top = 8 // depth, (1 << depth) - 1
+    parts = F.array(*(F.shiftright(F.col("px")[0], 8 - depth * (k + 1)).bitwiseAND(top) for k in range(each)))
+    rows = df.select("*", F.posexplode(parts).alias("_k", "_v"))
+    return _put(rows, width=F.col("width") * each, x=(F.col("x") * each + F.col("_k")).cast("int"), px=F.array(F.floor((F.col("_v") * 255 + top // 2) / top).cast("int")))
+
+
+def palette_expand(df: DataFrame, palette: list[tuple[int, int, int]], alpha: list[int] | None = None) -> DataFrame:
+    """Indices as colours; an index outside the palette is malformed, entries
+    beyond the end of alpha are opaque. The palette (256 entries at most) is a
+    literal, so there is no join."""
+    if not 1 <= len(palette) <= 256:
+        raise invalid("a palette has 1 to 256 entries")
+    table = F.array(*(F.array(*map(F.lit, e)) for e in palette))
+    at = F.col("px")[0]
+    wrong = F.raise_error(F.lit("malformed: an index is outside the palette")).cast("array<int>")
+    color = F.when(at < len(palette), F.element_at(table, at + 1)).otherwise(wrong)
+    if alpha is not None:
+        known = F.array(*map(F.lit, alpha))
+        color = F.concat(color, F.array(F.when(at < len(alpha), F.element_at(known, at + 1)).otherwise(255) if alpha else F.lit(255)))
+    return _put(df, px=color)
+
+
+def filter_choice(df: DataFrame) -> DataFrame:
+    """image_id, y, filter: for each row of gray8 images the filter (0 none, 1
+    left, 2 above, 3 mean, 4 nearest of left, above, corner) whose signed bytes
+    have the least sum of absolute values, the first of equals."""
+    line, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    zero = F.lit(0)
+    rows = df.select("image_id", "y", "x", F.col("px")[0].alias("v")).withColumn("b", F.coalesce(F.lag("v").over(column), zero))
+    rows = rows.withColumn("a", F.coalesce(F.lag("v").over(line), zero)).withColumn("c", F.coalesce(F.lag("b").over(line), zero))
+    a, b, c, v = (F.col(n) for n in "abcv")
+    pa, pb, pc = F.abs(b - c), F.abs(a - c), F.abs(a + b - 2 * c)
+    near = F.when((pa <= pb) & (pa <= pc), a).when(pb <= pc, b).otherwise(c)
+
+    def size(guess: Column) -> Column:
+        byte = F.pmod(v - guess, F.lit(256))
+        return F.sum(F.when(byte > 127, 256 - byte).otherwise(byte))
+
+    guesses = (zero, a, b, F.floor((a + b) / 2).cast("int"), near)
+    sums = rows.groupBy("image_id", "y").agg(*(size(g).alias(f"s{k}") for k, g in enumerate(guesses)))
+    least = F.least(*(F.struct(F.col(f"s{k}").alias("s"), F.lit(k).alias("k")) for k in range(5)))
+    return sums.select("image_id", "y", least["k"].alias("filter"))
+
+
+def tile_grid(sizes: DataFrame, tile_width: int, tile_height: int, x: int, y: int, width: int, height: int) -> DataFrame:
+    """image_id, chunk, x, y: the chunks of each image's grid that a region
+    touches; sizes: image_id, width, height. Only those are listed."""
+    if min(tile_width, tile_height, width, height) <= 0 or min(x, y) < 0:
+        raise invalid(f"region {width}x{height}+{x}+{y}, tiles {tile_width}x{tile_height}")
+    across = F.floor((F.col("width") + tile_width - 1) / tile_width).cast("int")
+    last = lambda size, end, step: F.floor((F.least(F.col(size), F.lit(end)) - 1) / step).cast("int")
+    inside = sizes.filter((F.col("width") > x) & (F.col("height") > y))
+    rows = inside.select("image_id", across.alias("_n"), F.explode(F.sequence(F.lit(y // tile_height), last("height", y + height, tile_height))).alias("_r"), "width")
+    rows = rows.select("image_id", "_n", "_r", F.explode(F.sequence(F.lit(x // tile_width), last("width", x + width, tile_width))).alias("_c"))
+    return rows.select("image_id", (F.col("_r") * F.col("_n") + F.col("_c")).alias("chunk"), (F.col("_c") * tile_width).alias("x"), (F.col("_r") * tile_height).alias("y"))

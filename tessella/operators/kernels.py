@@ -143,21 +143,63 @@ def convolve(a, kernel: Kernel):
     return _clamp16(acc) if a.dtype.kind == "u" else acc
 
 
+def _blocks(w: Weights, table: np.ndarray, dtype, inputs: int):
+    """(outputs, inputs, matrix) for runs of outputs that use about so many
+    inputs, as dense bands."""
+    outs, step = len(w.start), max(1, min(32, 1 + inputs * len(w.start) // int((w.start + w.length)[-1])))
+    for first in range(0, outs, step):
+        last = min(outs, first + step)
+        lo, hi = w.span(first, last)
+        band = np.zeros((last - first, hi - lo), dtype)
+        rows = np.repeat(np.arange(last - first), w.length[first:last])
+        taps = np.arange(table.shape[1]) < w.length[first:last, None]
+        band[rows, (w.start[first:last, None] - lo + np.arange(table.shape[1]))[taps]] = table[first:last][taps]
+        yield slice(first, last), slice(lo, hi), band
+
+
 def _resample(a, w: Weights, axis: int):
-    """One pass along an axis; rounds to the sample type."""
+    """One pass along an axis; rounds to the sample type. Each block of outputs
+    is a product of a banded matrix with the inputs it uses. Eight-bit sums stay
+    below 2**24, so single precision holds them exactly; a table that could
+    exceed that is summed in double precision."""
+    if a.dtype != np.uint8:
+        return _resample_wide(a, w, axis)
+    small = int(np.abs(w.fixed).sum(axis=1).max()) * 255 + 8192 < 1 << 24
+    dtype = f32 if small else np.float64
+    n, h, width, c = a.shape
+    out_shape = [*a.shape]
+    out_shape[axis] = len(w.start)
+    out = np.empty(out_shape, np.uint8)
+    bands = list(_blocks(w, w.fixed, dtype, 64 if axis == 2 else 256))
+    if axis == 2:  # samples of a line lie by place, then channel
+        bands = [(slice(o.start * c, o.stop * c), slice(i.start * c, i.stop * c), np.kron(band.T, np.eye(c, dtype=dtype))) for o, i, band in bands]
+    lines = max(1, (1 << 20) // (width * c)) if axis == 2 else h
+    for k in range(n):
+        for at in range(0, h, lines) if axis == 2 else (0,):
+            part = a[k, at : at + lines]
+            if axis == 2:
+                flat, made = part.reshape(len(part), -1).astype(dtype), np.empty((len(part), len(w.start) * c), dtype)
+                for outs, ins, band in bands:
+                    np.matmul(flat[:, ins], band, out=made[:, outs])
+                out[k, at : at + lines] = np.clip(np.floor((made + 8192) / 16384), 0, 255).reshape(len(part), -1, c).astype(np.uint8)
+            else:
+                for outs, ins, band in bands:
+                    made = band @ part[ins].reshape(ins.stop - ins.start, -1).astype(dtype)
+                    out[k, outs] = np.clip(np.floor((made + 8192) / 16384), 0, 255).reshape(-1, width, c).astype(np.uint8)
+    return out
+
+
+def _resample_wide(a, w: Weights, axis: int):
+    """Single precision, summed in the order of taps."""
     out_shape = list(a.shape)
     out_shape[axis] = len(w.start)
-    narrow = a.dtype == np.uint8
-    acc = np.zeros(out_shape, np.int32 if narrow else f32)
+    acc = np.zeros(out_shape, f32)
     shape = [1] * a.ndim
     shape[axis] = -1
     for k in range(w.exact.shape[1]):
-        at = np.minimum(w.start + k, a.shape[axis] - 1)
-        tap = w.fixed[:, k].astype(np.int32) if narrow else w.exact[:, k]
+        tap = w.exact[:, k]
         if tap.any():
-            acc += a.take(at, axis).astype(acc.dtype) * tap.reshape(shape)
-    if narrow:
-        return _round8(acc)
+            acc += a.take(np.minimum(w.start + k, a.shape[axis] - 1), axis).astype(f32) * tap.reshape(shape)
     return _clamp16(acc) if a.dtype.kind == "u" else acc
 
 

@@ -1,10 +1,10 @@
-"""The relational lowering: images as a relation of pixels.
+"""The relational lowering: images as a relation of cells.
 
 A row is one pixel: ``image_id, width, height, y, x, px`` with px the array of
 its samples. Geometry and point operations are projections and filters that
 need no shuffle. Resampling and convolution join or generate taps inside the
 scan's stage and sum them; partial aggregation folds an image's taps where its
-pixels lie, so only output pixels are shuffled. All arithmetic on 8-bit samples
+cells lie, so only output cells are shuffled. All arithmetic on 8-bit samples
 is in whole numbers, so results do not depend on partitions.
 """
 
@@ -66,7 +66,8 @@ def extract_channel(df, index: int, channels: int | None = None):
     return _put(df, px=F.array(F.element_at("px", index + 1)))
 
 
-def flatten(df, background: tuple[int, int, int], channels: int):
+def flatten(df, background: tuple[int, int, int], channels: int, full: int = 255):
+    _only_8_bits(df, full)
     if channels in (1, 3):
         return df
     a = F.col("px")[channels - 1]
@@ -78,16 +79,17 @@ def _f(c) -> Column:
     return (c if isinstance(c, Column) else F.lit(c)).cast("float")
 
 
-def modulate(df, m: Modulate, channels: int):
-    """8-bit samples; every step is rounded to single precision."""
-    scaled = [_f(_f(F.col("px")[k]) / _f(255)) for k in range(channels)]
+def modulate(df, m: Modulate, channels: int, full: int = 255):
+    """Every step is rounded to single precision."""
+    real = floats(df)
+    scaled = [_f(F.col("px")[k]) if real else _f(_f(F.col("px")[k]) / _f(full)) for k in range(channels)]
     alpha = [F.col("px")[channels - 1]] if channels in (2, 4) else []
 
     def clamp(c: Column) -> Column:
         return F.greatest(_f(0), F.least(_f(1), c))
 
     def store(c: Column) -> Column:
-        return _int(F.floor(_f(_f(clamp(c) * _f(255)) + _f(0.5))))
+        return clamp(c) if real else _int(F.floor(_f(_f(clamp(c) * _f(full)) + _f(0.5))))
 
     if channels < 3:
         return _put(df, px=F.array(store(_f(scaled[0] * _f(m.brightness))), *alpha))
@@ -124,20 +126,39 @@ def modulate(df, m: Modulate, channels: int):
     return _put(df, px=F.concat(made[0], F.array(*alpha)) if alpha else made[0])
 
 
-def _sums(df: DataFrame, by: list[str], q: str, channels: int) -> DataFrame:
-    total = [F.sum(F.col("px")[k].cast("long") * F.col(q)).alias(f"_{k}") for k in range(channels)]
-    rounded = F.array(*(_int(F.greatest(F.lit(0), F.least(F.lit(255), F.shiftright(F.col(f"_{k}") + 8192, 14)))) for k in range(channels)))
+def floats(df: DataFrame) -> bool:
+    return df.schema["px"].dataType.elementType.typeName() in ("float", "double")
+
+
+def _only_8_bits(df: DataFrame, full: int) -> None:
+    if floats(df) or full != 255:
+        raise RasterError("unsupported", "this operation takes 8-bit samples only")
+
+
+def _sums(df: DataFrame, by: list[str], channels: int, full: int) -> DataFrame:
+    """Weighted sums: q (fixed point) for 8-bit samples, w (exact) for others."""
+    narrow = full == 255 and not floats(df)
+    total = [F.sum(F.col("px")[k].cast("long") * F.col("q") if narrow else F.col("px")[k].cast("double") * F.col("w")).alias(f"_{k}") for k in range(channels)]
+
+    def value(c: Column) -> Column:
+        if floats(df):
+            return c.cast("float")
+        return _int(F.greatest(F.lit(0), F.least(F.lit(full), F.shiftright(c + 8192, 14) if narrow else F.floor(c + 0.5))))
+
+    rounded = F.array(*(value(F.col(f"_{k}")) for k in range(channels)))
     return df.groupBy("image_id", "width", "height", *by).agg(*total).withColumn("px", rounded)
 
 
-def convolve(df, kernel: Kernel, channels: int):
+def convolve(df, kernel: Kernel, channels: int, full: int = 255):
     """Each pixel is handed to every output it is a tap of. The first and last
     pixel of a line also stand in for the taps beyond the edge."""
     ry, rx = kernel.height // 2, kernel.width // 2
-    taps = [(dy - ry, dx - rx, int(kernel.fixed[dy, dx])) for dy in range(kernel.height) for dx in range(kernel.width) if kernel.fixed[dy, dx]]
+    narrow = full == 255 and not floats(df)
+    used = kernel.fixed if narrow else kernel.exact
+    taps = [(dy - ry, dx - rx, int(kernel.fixed[dy, dx]), float(kernel.exact[dy, dx])) for dy in range(kernel.height) for dx in range(kernel.width) if used[dy, dx]]
     if not taps:
-        return _put(df, px=F.array(*[F.lit(0)] * channels))
-    table = df.sparkSession.createDataFrame(taps, "dy int, dx int, q long")
+        return _put(df, px=F.array(*[F.lit(0).cast(df.schema["px"].dataType.elementType)] * channels))
+    table = df.sparkSession.createDataFrame(taps, "dy int, dx int, q long, w double")
 
     def targets(at: Column, d: Column, size: Column) -> Column:
         lo = F.greatest(F.lit(0), F.when(at == 0, F.lit(0)).otherwise(at - d))
@@ -146,32 +167,43 @@ def convolve(df, kernel: Kernel, channels: int):
 
     spread = df.join(F.broadcast(table))  # at most 63 x 63 taps
     spread = spread.withColumn("_y", F.explode(targets(F.col("y"), F.col("dy"), F.col("height")))).withColumn("_x", F.explode(targets(F.col("x"), F.col("dx"), F.col("width"))))
-    out = _sums(spread, ["_y", "_x"], "q", channels)
+    out = _sums(spread, ["_y", "_x"], channels, full)
     return _put(out, y=F.col("_y"), x=F.col("_x"))
 
 
-def resize(df, width: int, height: int, name: str, channels: int, sizes: tuple[list[int], list[int]]):
-    """sizes: the widths and heights that occur (a weight table for each; a
-    dimension has at most as many rows as inputs, so the tables are small)."""
-    spark = df.sparkSession
+def resize(df, width: int, height: int, name: str, channels: int, sizes: tuple[list[int], list[int]] | None = None, full: int = 255):
+    """sizes: the widths and heights that occur (None: they are looked up). A
+    size that is not among them raises invalid_argument; a weight table has a
+    row for each input that an output uses, 2,000,000 at most."""
+    spark, narrow = df.sparkSession, full == 255 and not floats(df)
+    if sizes is None:
+        found = df.select("width", "height").distinct().agg(F.collect_set("width"), F.collect_set("height")).first()
+        sizes = (found[0], found[1])
 
     def table(all_sizes, out):
-        rows = [(s, o, i, q) for s in sorted(set(all_sizes)) for o, i, q, _ in weights(name, s, out).rows() if q]
+        rows = [(s, o, i, q, w) for s in sorted(set(all_sizes)) for o, i, q, w in weights(name, s, out).rows() if (q if narrow else w)]
         if len(rows) > 2_000_000:
             raise RasterError("limit_exceeded", "too many different sizes for one weight table")
-        return F.broadcast(spark.createDataFrame(rows, "s int, o int, i int, q long"))
+        return F.broadcast(spark.createDataFrame(rows, "s int, o int, i int, q long, w double"))
+
+    def known(size, all_sizes):
+        wrong = F.raise_error(F.concat(F.lit(f"invalid_argument: {size} "), F.col(size), F.lit(" is not among the sizes"))).cast("int")
+        return F.when(F.col(size).isin(*sorted(set(all_sizes))), F.col(size)).otherwise(wrong)
 
-    across = df.join(table(sizes[0], width), (F.col("width") == F.col("s")) & (F.col("x") == F.col("i")))
-    df = _put(_sums(across, ["y", "o"], "q", channels), x=F.col("o"), width=F.lit(width))
-    down = df.join(table(sizes[1], height), (F.col("height") == F.col("s")) & (F.col("y") == F.col("i")))
-    return _put(_sums(down, ["o", "x"], "q", channels), y=F.col("o"), height=F.lit(height))
+    if not sizes[0] or not sizes[1]:
+        return _put(df, width=F.lit(width), height=F.lit(height))
+    across = df.withColumn("width", known("width", sizes[0])).join(table(sizes[0], width), (F.col("width") == F.col("s")) & (F.col("x") == F.col("i")))
+    df = _put(_sums(across, ["y", "o"], channels, full), x=F.col("o"), width=F.lit(width))
+    down = df.withColumn("height", known("height", sizes[1])).join(table(sizes[1], height), (F.col("height") == F.col("s")) & (F.col("y") == F.col("i")))
+    return _put(_sums(down, ["o", "x"], channels, full), y=F.col("o"), height=F.lit(height))
 
 
-def composite(base, overlay, dx: int, dy: int, blend: str, channels: int):
-    """The overlay joins the base on its place; overlay pixels that miss the
+def composite(base, overlay, dx: int, dy: int, blend: str, channels: int, full: int = 255):
+    """The overlay joins the base on its place; overlay cells that miss the
     canvas are dropped before the join."""
     if blend not in ("over", "source"):
         raise invalid(f"no blend {blend!r}")
+    _only_8_bits(base, full)
     over = overlay.select("image_id", _int(F.col("x") + dx).alias("x"), _int(F.col("y") + dy).alias("y"), F.col("px").alias("over")).filter("x >= 0 and y >= 0")
     both = base.join(over, ["image_id", "y", "x"], "left")
     if blend == "source" or channels in (1, 3):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.types import PIXELS, Descriptor, RasterError, descriptor_of, to_array
+from tessella.functions.types import LAYOUTS, Descriptor, RasterError, descriptor_of, to_array
 
 IMAGE = "image_id long, width int, height int, pixel string, data binary"
 SCHEMA = pa.schema([("image_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("pixel", pa.string()), ("data", pa.binary())])
@@ -38,7 +38,7 @@ def stacks(batch: pa.RecordBatch):
         whole = b"".join(data[k].as_buffer().to_pybytes() for k in at)
         if len(whole) != d.row_bytes * height * len(at):
             raise RasterError("invalid_argument", f"data does not fit {width}x{height} {name}")
-        yield batch.column(0).take(pa.array(at)).to_pylist(), np.frombuffer(whole, PIXELS[name].dtype).reshape(len(at), *d.shape)
+        yield batch.column(0).take(pa.array(at)).to_pylist(), np.frombuffer(whole, LAYOUTS[name].dtype).reshape(len(at), *d.shape)
 
 
 def apply(df: DataFrame, chain: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -56,11 +56,11 @@ def apply(df: DataFrame, chain: Callable[[np.ndarray], np.ndarray]) -> DataFrame
     return df.select("image_id", "width", "height", "pixel", "data").mapInArrow(run, IMAGE)
 
 
-def from_pixels(df: DataFrame, pixel: str) -> DataFrame:
+def from_samples(df: DataFrame, pixel: str) -> DataFrame:
     """A pixel relation as image rows; one shuffle, by image."""
     whole = df.groupBy("image_id", "width", "height").agg(F.array_sort(F.collect_list(F.struct("y", "x", "px"))).alias("rows"))
     whole = whole.select("image_id", "width", "height", F.flatten(F.transform("rows", lambda r: r["px"])).alias("v"))
-    dtype = PIXELS[pixel].dtype
+    dtype = LAYOUTS[pixel].dtype
 
     def run(batches):
         for b in batches:
@@ -69,7 +69,7 @@ def from_pixels(df: DataFrame, pixel: str) -> DataFrame:
     return whole.mapInArrow(run, IMAGE)
 
 
-def to_pixels(df: DataFrame) -> DataFrame:
+def to_samples(df: DataFrame) -> DataFrame:
     """image_id, y, x, c, v of image rows (8- and 16-bit samples)."""
 
     def run(batches):
@@ -82,5 +82,39 @@ def to_pixels(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "image_id long, y int, x int, c int, v int")
 
 
+def to_relation(df: DataFrame) -> DataFrame:
+    """Image rows of one layout as pixel rows: image_id, width, height, y, x, px."""
+
+    def run(batches):
+        for b in batches:
+            for ids, stack in stacks(b):
+                n, h, w, c = stack.shape
+                i, y, x = (g.ravel() for g in np.meshgrid(np.array(ids), np.arange(h), np.arange(w), indexing="ij"))
+                flat = stack.ravel()
+                values = pa.array(flat.astype(np.float32)) if flat.dtype.kind == "f" else pa.array(flat.astype(np.int32)).cast(pa.float32()) if floating else pa.array(flat.astype(np.int32))
+                px = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, c, dtype=np.int32)), values)
+                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), *(pa.array(np.full(len(i), v, np.int32)) for v in (w, h)), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), px], names=["image_id", "width", "height", "y", "x", "px"])
+
+    first = df.select("pixel").first()
+    floating = first is not None and LAYOUTS[first.pixel].dtype[-2:] == "f4"
+    return df.mapInArrow(run, f"image_id long, width int, height int, y int, x int, px array<{'float' if floating else 'int'}>")
+
+
+def from_relation(df: DataFrame) -> DataFrame:
+    """Pixel rows of 8-bit samples as image rows, whatever their channels."""
+    whole = df.groupBy("image_id", "width", "height").agg(F.array_sort(F.collect_list(F.struct("y", "x", "px"))).alias("rows"))
+    whole = whole.select("image_id", "width", "height", F.flatten(F.transform("rows", lambda r: r["px"])).alias("v"))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, w, h, v in zip(*(b.column(c).to_pylist() for c in range(4))):
+                a = np.array(v, np.uint8).reshape(h, w, -1)
+                rows.append((i, w, h, descriptor_of(a).pixel, a.tobytes()))
+            yield batch_of(rows)
+
+    return whole.mapInArrow(run, IMAGE)
+
+
 def decode_row(width: int, height: int, pixel: str, data: bytes) -> np.ndarray:
     return to_array(data, Descriptor(width, height, pixel))

@@ -1,5 +1,5 @@
 """Lazy image pipelines over collections of images."""
 
-from .raster import Raster
+from .raster import Output, Raster, RunStats
 
-__all__ = ["Raster"]
+__all__ = ["Output", "Raster", "RunStats"]

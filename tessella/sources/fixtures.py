@@ -29,9 +29,14 @@ def emb4(spark: SparkSession, sf_dir: str, floats: bool = False) -> DataFrame:
     return df.select("image_id", F.lit(4).alias("width"), F.lit(4).alias("height"), F.floor(F.col("p") / 4).cast("int").alias("y"), (F.col("p") % 4).cast("int").alias("x"), px.alias("px"))
 
 
-def part_rgb(spark: SparkSession, sf_dir: str, images: int = 200) -> DataFrame:
-    """Parts 1 to `images` as p_size x (1 + p_partkey % 16) rgb8: many shapes."""
-    df = _table(spark, sf_dir, "part").filter(F.col("p_partkey") <= images).select(F.col("p_partkey").alias("image_id"), F.col("p_size").alias("width"), (1 + F.col("p_partkey") % 16).cast("int").alias("height"))
+def part_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, width and height of part_rgb."""
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), F.col("p_size").alias("width"), (1 + F.col("p_partkey") % 16).cast("int").alias("height"))
+
+
+def part_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as p_size x (1 + p_partkey % 16) rgb8: many shapes."""
+    df = part_sizes(spark, sf_dir)
     df = df.withColumn("y", F.explode(F.expr("sequence(0, height - 1)"))).withColumn("x", F.explode(F.expr("sequence(0, width - 1)")))
     ck = "case when (x div 8 + y div 8) % 2 = 0 then 60 else 0 end"
     return df.selectExpr("image_id", "width", "height", "y", "x", f"array(cast((x * 255 div width + {ck}) % 256 as int), cast((y * 255 div height + {ck}) % 256 as int), cast((x ^ y) % 256 as int)) as px")
@@ -57,7 +62,7 @@ SQL = {
     "part_rgb": """SELECT image_id, width, height, y, x, c, CAST(CASE c WHEN 0 THEN ((x * 255) // width + ck) % 256 WHEN 1 THEN ((y * 255) // height + ck) % 256 ELSE XOR(x, y) % 256 END AS INT) v
   FROM (SELECT *, UNNEST([0, 1, 2])::INT c FROM (SELECT *, CASE WHEN ((x // 8) + (y // 8)) % 2 = 0 THEN 60 ELSE 0 END ck
   FROM (SELECT image_id, width, height, y, UNNEST(RANGE(0, width))::INT x FROM (SELECT image_id, width, height, UNNEST(RANGE(0, height))::INT y
-  FROM (SELECT p_partkey image_id, p_size width, CAST(1 + p_partkey % 16 AS INT) height FROM part WHERE p_partkey <= 200)))))""",
+  FROM (SELECT p_partkey image_id, p_size width, CAST(1 + p_partkey % 16 AS INT) height FROM part)))))""",
     "event_frames": """SELECT user_id image_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) frame_no, CAST(event_id % 8 AS INT) x, CAST((event_id // 8) % 8 AS INT) y,
   CAST(event_id % 4 AS INT) disposal, CAST(CAST(FLOOR(value) AS INT) % 256 AS INT) idx FROM events""",
 }

@@ -28,6 +28,20 @@ def sniff(content: Column) -> Column:
     return found
 
 
+def format_of(data: bytes) -> str | None:
+    """As sniff(), of bytes at hand."""
+    for name, at, marks in SIGNATURES:
+        if any(data[at:].startswith(bytes.fromhex(m)) for m in marks):
+            return name
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return "webp"
+    if data[4:8] == b"ftyp":
+        size = min(64, int.from_bytes(data[:4], "big"), len(data))
+        names = [data[8:12], *(data[k : k + 4] for k in range(16, size - 3, 4))]
+        return "avif" if any(n.decode("latin1") in BRANDS for n in names) else None
+    return None
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """image files below a path: path, length, format, content; bytes of files are
     read only if format or content is used."""
