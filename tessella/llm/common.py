@@ -44,10 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cached(key, make):
-    """A value that a Python worker keeps between tasks."""
+    """A value that a Python worker keeps between tasks; of each kind (the first
+    part of the key) only the last two used."""
     kept = sys.__dict__.setdefault("_tessella_kept", {})
-    if key not in kept:
-        kept[key] = make()
+    kept[key] = kept.pop(key) if key in kept else make()
+    for old in [k for k in kept if k[0] == key[0]][:-2]:
+        del kept[old]
     return kept[key]
 
 

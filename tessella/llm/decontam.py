@@ -19,8 +19,10 @@ most `block` bytes, each one pass over the documents, so what travels to a
 task is bounded however large the benchmark is. Nothing is shuffled.
 
 Defined results: a null, empty or blank text or item matches nothing; `shared`
-is 0 for items under Q bytes; repeated rows are reported each; an empty table
-on either side gives no rows; extra columns are ignored.
+is 0 for items under Q bytes; `edits` and `shared` of an item in several windows
+are those of the window with most; repeated documents are reported each, a
+repeated item once; an empty table on either side gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -201,9 +203,17 @@ def matches(text: bytes, patterns: Patterns) -> list[tuple[int, int, int, int, i
         found = align(patterns.text[o], folded[start:end], int(patterns.edits[o]), int(2 * max(1, patterns.edits[o])) + int(patterns.edits[o]))
         if found:
             edits, a, z = found[0], start + found[1], start + found[2]
-            key = (o, a // max(1, int(patterns.length[o])))
-            if key not in best or (edits, a) < best[key][:2]:
-                best[key] = (edits, a, z, shared)
+            if (o, a) not in best or edits < best[o, a][0]:
+                best[o, a] = (edits, a, z, shared)
+    # a place shows in several bands: of matches that share more than half, the one with the fewest edits
+    taken: dict[int, list] = {}
+    for (o, a), match in sorted(best.items(), key=lambda x: (x[0][0], x[1][0], x[1][1])):
+        half = int(patterns.length[o]) / 2
+        near = [m for m in taken.get(o, ()) if min(m[2], match[2]) - max(m[1], match[1]) > half] if not patterns.exact[o] else []
+        if near:
+            del best[o, a]
+        else:
+            taken.setdefault(o, []).append(match)
     out: list[tuple[int, int, int, int, int]] = []
     for (o, _), (edits, a, z, shared) in sorted(best.items(), key=lambda x: (patterns.item[x[0][0]], x[1][1])):
         item = patterns.item[o]
@@ -218,7 +228,7 @@ def matches(text: bytes, patterns: Patterns) -> list[tuple[int, int, int, int, i
 
 def _blocks(benchmark: DataFrame, share: float, window: int, least: int, block: int):
     """A maker of Patterns for each block of items, read one after another."""
-    items = benchmark.select("item_id", utf8("text").alias("text")).filter(F.length("text") > 0)
+    items = benchmark.select("item_id", utf8("text").alias("text")).filter(F.length("text") > 0).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block))  # half full on average, as a hash deals unevenly
     for k in range(blocks):
