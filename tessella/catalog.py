@@ -6,6 +6,8 @@ Images are the rasters of `sources.fixtures`. Every query gives samples
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,7 +154,7 @@ _arrays("arrays_mixed_sizes", "part_rgb", lambda r: r.resize(12, 9, "bilinear").
 _arrays("arrays_flatten_modulate", "emb4", lambda r: r.modulate(1.25, 0.75, 40.0).flatten(10, 200, 90).crop(1, 1, 3, 2), modulate_sql(1.25, 0.75, 40.0), flatten_sql(10, 200, 90), crop_sql(1, 1, 3, 2))
 _arrays("arrays_thumbnail", "emb8", lambda r: r.thumbnail(4, 6), *resize_sql([8], [8], 4, 4, "lanczos3"))
 _add(
-    "metadata", lambda spark, sf: _images(spark, sf, "part_rgb").metadata(),
+    "metadata", lambda spark, sf: replace(_images(spark, sf, "part_rgb"), headers=fixtures.part_sizes(spark, sf).withColumn("pixel", F.lit("rgb8"))).flip().metadata(),
     "SELECT p_partkey AS image_id, p_size AS width, CAST(1 + p_partkey % 16 AS INT) AS height, 'rgb8' AS pixel FROM part",
 )
 

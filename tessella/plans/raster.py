@@ -67,12 +67,14 @@ def run_steps(stack: np.ndarray, steps: tuple, known: dict, size: tuple[int, int
 @dataclass(frozen=True)
 class Raster:
     """rows: image rows (image_id, width, height, pixel, data); or files
-    (image_id, path, content), which the terminal decodes."""
+    (image_id, path, content), which the terminal decodes. headers: image_id,
+    width, height and pixel, where they are known without the samples."""
 
     rows: DataFrame | None
     steps: tuple = ()
     error: RasterError | None = None
     files: DataFrame | None = None
+    headers: DataFrame | None = None
     limits: Limits = Limits()
     shrink: bool = True
 
@@ -257,7 +259,7 @@ class Raster:
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([s[k] for s in sizes], pa.int32()) for k in (0, 1))], names=["image_id", "path", "width", "height"])
 
             return self.files.mapInArrow(run, "image_id long, path string, width int, height int")
-        return self.rows.select("image_id", "width", "height", "pixel")
+        return (self.rows if self.headers is None else self.headers).select("image_id", "width", "height", "pixel")
 
     def images(self) -> DataFrame:
         """The results as image rows."""
