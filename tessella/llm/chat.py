@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, cut_table
+from .common import cut_table, settled
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
 
@@ -47,12 +47,18 @@ def unescape(text: Column) -> Column:
 
 
 def branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
+    """The chosen paths (see _branches), written once; what is written on the way
+    to them is removed."""
+    return settled(lambda: _branches(nodes, top))
+
+
+def _branches(nodes: DataFrame, top: int | None) -> DataFrame:
     """``tree, leaf, rank, score, step, node``: the nodes of each chosen path,
     step 0 at the root. nodes: ``tree, node, parent, score``, one row a node;
     top: paths kept in each tree (None: all)."""
     nodes = nodes.withColumn("tree", F.struct("tree"))  # joins then find a null tree too
     known = nodes.select("tree", F.col("node").alias("parent"))
-    linked = cut(
+    linked = cut_table(
         nodes.join(known.withColumn("found", F.lit(True)), ["tree", "parent"], "left").select("tree", "node", F.when(F.col("found"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("score"))
     )
     # a path is no longer than its tree, which bounds the rounds even if parents form a cycle
@@ -61,7 +67,7 @@ def branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
     while (1 << len(jumps)) < most:
         last = jumps[-1]
         above = last.select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("sum").alias("more"))
-        jumps.append(cut(last.filter("up is not null").join(above, ["tree", "up"]).select("tree", "node", F.col("far").alias("up"), (F.col("sum") + F.col("more")).alias("sum"))))
+        jumps.append(cut_table(last.filter("up is not null").join(above, ["tree", "up"]).select("tree", "node", F.col("far").alias("up"), (F.col("sum") + F.col("more")).alias("sum"))))
         if jumps[-1].isEmpty():
             jumps.pop()
             break
@@ -82,7 +88,7 @@ def branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
     paths = path.select("tree", "leaf", "rank", "score", F.col("leaf").alias("node"), (F.col("length") - 1).alias("step"))
     for k in reversed(range(len(jumps))):
         hop = jumps[k].filter("up is not null").select("tree", "node", "up")
-        paths = cut(paths.unionByName(paths.join(hop, ["tree", "node"]).select("tree", "leaf", "rank", "score", F.col("up").alias("node"), (F.col("step") - (1 << k)).alias("step"))))
+        paths = cut_table(paths.unionByName(paths.join(hop, ["tree", "node"]).select("tree", "leaf", "rank", "score", F.col("up").alias("node"), (F.col("step") - (1 << k)).alias("step"))))
     return paths.select("tree.tree", "leaf", "rank", "score", "step", "node")
 
 
