@@ -1,8 +1,10 @@
-"""Baseline JPEG: Huffman scans of any subsampling, restarts, gray, YCbCr and
-RGB, whole or at 1/2, 1/4 and 1/8 of the size; and an encoder.
+"""JPEG by Huffman scans, sequential and progressive, of any subsampling,
+restarts, gray, YCbCr and RGB, whole or at 1/2, 1/4 and 1/8 of the size; and a
+baseline encoder.
 
 Symbols are read one by one; everything else (dequantising, transforms, colour)
-runs on all blocks at once.
+runs on all blocks at once. A progressive file holds all its coefficients until
+the last scan, so its size is bounded by `PROGRESSIVE` bytes.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from tessella.codecs.bits import malformed, unsupported
-from tessella.functions.types import EncodeOptions, Limits, invalid
+from tessella.functions.types import EncodeOptions, Limits, RasterError, invalid
 
 # The standard's quantisation tables for luma and chroma, row by row.
 LUMA = (16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62, 18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99)
@@ -21,6 +23,8 @@ CHROMA = (17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26
 # Colour weights in 1/65536 (to YCbCr with what is added; to RGB from Cb and Cr).
 TO_YCBCR = ((19595, 38470, 7471, 0), (-11059, -21709, 32768, 128), (32768, -27439, -5329, 128))
 TO_RGB = ((0, 91881), (-22554, -46802), (116130, 0))
+#: The most bytes of decoded samples for a progressive file.
+PROGRESSIVE = 256 << 20
 
 
 def _zigzag() -> np.ndarray:
@@ -49,11 +53,11 @@ def quant_table(base: tuple[int, ...], quality: int) -> np.ndarray:
     return np.clip((np.array(base, np.int64) * scale + 50) // 100, 1, 255)
 
 
-def _segments(data: bytes):
-    """(marker, body, where the body ends) up to the first scan."""
-    if data[:2] != b"\xff\xd8":
+def _segments(data: bytes, at: int = 0):
+    """(marker, body, where the body ends) from a place outside coded samples on."""
+    if at == 0 and data[:2] != b"\xff\xd8":
         raise malformed("not a JPEG start")
-    at = 2
+    at = at or 2
     while at + 4 <= len(data):
         if data[at] != 0xFF:
             raise malformed(f"no marker at {at}")
@@ -64,13 +68,13 @@ def _segments(data: bytes):
         if mark == 0x01 or 0xD0 <= mark <= 0xD8:
             at += 2
             continue
+        if mark == 0xD9:
+            return
         size = struct.unpack_from(">H", data, at + 2)[0]
         if size < 2 or at + 2 + size > len(data):
             raise malformed(f"segment {mark:#x} is cut off")
         yield mark, data[at + 4 : at + 2 + size], at + 2 + size
         at += 2 + size
-        if mark == 0xD9:
-            return
 
 
 @dataclass
@@ -82,6 +86,20 @@ class Component:
     dc: int = 0
     ac: int = 0
     blocks: np.ndarray | None = None
+    quant: np.ndarray | None = None
+
+
+@dataclass
+class Scan:
+    """Which components a scan holds, which places of the diagonal order, and
+    the bit it refines (`before` is 0 in a first scan) or starts at."""
+
+    parts: list[Component]
+    first: int
+    last: int
+    before: int
+    bit: int
+    start: int
 
 
 @dataclass
@@ -94,7 +112,8 @@ class Header:
     restart: int = 0
     transform: int | None = None
     orientation: int = 1
-    scan: int = 0
+    progressive: bool = False
+    scan: Scan | None = None
 
 
 def code_table(counts: bytes, symbols: bytes) -> np.ndarray:
@@ -127,26 +146,54 @@ def orientation_of(exif: bytes) -> int:
     return 1
 
 
+def _tables(f: Header, mark: int, body: bytes) -> None:
+    """Takes in what may stand before any scan: tables and the restart interval."""
+    if mark == 0xDB:
+        at = 0
+        while at < len(body):
+            wide, k = body[at] >> 4, body[at] & 15
+            n = 128 if wide else 64
+            if len(body) < at + 1 + n:
+                raise malformed("a quantisation table is cut off")
+            table = np.zeros(64, np.int64)
+            table[ZIGZAG] = np.frombuffer(body[at + 1 : at + 1 + n], ">u2" if wide else np.uint8)
+            f.quant[k], at = table, at + 1 + n
+    elif mark == 0xC4:
+        at = 0
+        while at + 17 <= len(body):
+            counts = body[at + 1 : at + 17]
+            f.codes[body[at]] = code_table(counts, body[at + 17 : at + 17 + sum(counts)])
+            at += 17 + sum(counts)
+    elif mark == 0xDD and len(body) >= 2:
+        f.restart = struct.unpack(">H", body[:2])[0]
+
+
+def _scan(f: Header, body: bytes, end: int) -> Scan:
+    if not f.parts:
+        raise malformed("a scan without a frame")
+    n = body[0] if body else 0
+    if not 1 <= n <= len(f.parts) or len(body) < 4 + 2 * n:
+        raise malformed("the scan header is cut off")
+    parts = []
+    for k in range(n):
+        part = next((p for p in f.parts if p.name == body[1 + 2 * k]), None)
+        if part is None or part in parts:
+            raise malformed(f"a scan of component {body[1 + 2 * k]}")
+        part.dc, part.ac = body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15
+        parts.append(part)
+    first, last, before, bit = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
+    if not f.progressive:
+        first, last, before, bit = 0, 63, 0, 0
+    elif not (first == last == 0 or 0 < first <= last < 64 and n == 1) or bit > 13 or before not in (0, bit + 1):
+        raise malformed(f"a scan of places {first} to {last}, bits {before} to {bit}")
+    return Scan(parts, first, last, before, bit, end)
+
+
 def header(data: bytes, limits: Limits = Limits()) -> Header:
+    """Everything up to the first scan."""
     out = Header()
     for mark, body, end in _segments(data):
-        if mark == 0xDB:
-            at = 0
-            while at < len(body):
-                wide, k = body[at] >> 4, body[at] & 15
-                n = 128 if wide else 64
-                if len(body) < at + 1 + n:
-                    raise malformed("a quantisation table is cut off")
-                table = np.zeros(64, np.int64)
-                table[ZIGZAG] = np.frombuffer(body[at + 1 : at + 1 + n], ">u2" if wide else np.uint8)
-                out.quant[k], at = table, at + 1 + n
-        elif mark == 0xC4:
-            at = 0
-            while at + 17 <= len(body):
-                counts = body[at + 1 : at + 17]
-                out.codes[body[at]] = code_table(counts, body[at + 17 : at + 17 + sum(counts)])
-                at += 17 + sum(counts)
-        elif mark in (0xC0, 0xC1):
+        if mark in (0xC0, 0xC1, 0xC2):
             if len(body) < 6 or len(body) < 6 + 3 * body[5]:
                 raise malformed("the frame header is cut off")
             depth, out.height, out.width, n = struct.unpack_from(">BHHB", body)
@@ -155,28 +202,23 @@ def header(data: bytes, limits: Limits = Limits()) -> Header:
             if not out.width or not out.height:
                 raise malformed("no size")
             limits.check(out.width, out.height)
+            out.progressive = mark == 0xC2
+            if out.progressive and out.width * out.height * n > PROGRESSIVE:
+                raise RasterError("limit_exceeded", f"a progressive JPEG of {out.width} x {out.height}")
             out.parts = [Component(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
             if any(not 1 <= p.h <= 4 or not 1 <= p.v <= 4 for p in out.parts):
                 raise malformed("sampling factors")
-        elif 0xC2 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-            raise unsupported("progressive JPEG" if mark == 0xC2 else f"JPEG process {mark:#x}")
-        elif mark == 0xDD and len(body) >= 2:
-            out.restart = struct.unpack(">H", body[:2])[0]
+        elif 0xC3 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            raise unsupported(f"JPEG process {mark:#x}")
         elif mark == 0xEE and body[:5] == b"Adobe" and len(body) >= 12:
             out.transform = body[11]
         elif mark == 0xE1 and body[:6] == b"Exif\0\0":
             out.orientation = orientation_of(body)
         elif mark == 0xDA:
-            if not out.parts:
-                raise malformed("a scan without a frame")
-            if len(body) < 1 or body[0] != len(out.parts) or len(body) < 1 + 2 * body[0]:
-                raise unsupported("scans of single components")
-            for k in range(body[0]):
-                for p in out.parts:
-                    if p.name == body[1 + 2 * k]:
-                        p.dc, p.ac = body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15
-            out.scan = end
+            out.scan = _scan(out, body, end)
             return out
+        else:
+            _tables(out, mark, body)
     raise malformed("no scan")
 
 
@@ -187,89 +229,210 @@ def size_of(data: bytes) -> tuple[int, int]:
     raise malformed("no frame")
 
 
-def _stretches(data: bytes, at: int) -> list[bytes]:
-    """The coded bytes between restarts, without stuffing."""
+def is_progressive(data: bytes) -> bool:
+    return next((mark for mark, _, _ in _segments(data) if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)), 0) == 0xC2
+
+
+def _stretches(data: bytes, at: int) -> tuple[list[bytes], int]:
+    """The coded bytes between restarts, without stuffing, and where they end."""
     out, start = [], at
     while True:
         k = data.find(b"\xff", at)
         if k < 0 or k + 1 >= len(data):
             out.append(data[start:].replace(b"\xff\0", b"\xff"))
-            return out
+            return out, len(data)
         if data[k + 1] in (0, 0xFF):
             at = k + 2 if data[k + 1] == 0 else k + 1
             continue
         out.append(data[start:k].replace(b"\xff\0", b"\xff"))
         if not 0xD0 <= data[k + 1] <= 0xD7:
-            return out
+            return out, k
         start = at = k + 2
 
 
+class Bits:
+    """Reads a stretch from its highest bits on; beyond its end come ones."""
+
+    WINDOW = 128  # bytes held as one number; long numbers are slow to shift
+
+    def __init__(self, part: bytes):
+        self.part, self.total, self.at, self.base, self.held = part, 8 * len(part), 0, 0, 0
+        self._fill()
+
+    def _fill(self) -> None:
+        at = self.at >> 3
+        self.base, self.held = 8 * at, int.from_bytes(self.part[at : at + self.WINDOW].ljust(self.WINDOW, b"\xff"), "big")
+
+    def bits(self, n: int) -> int:
+        if self.at - self.base + n > 8 * self.WINDOW:
+            self._fill()
+        self.at += n
+        return self.held >> 8 * self.WINDOW - (self.at - self.base) & (1 << n) - 1
+
+    def symbol(self, table: list[int]) -> int:
+        if self.at - self.base + 16 > 8 * self.WINDOW:
+            self._fill()
+        got = table[self.held >> 8 * self.WINDOW - 16 - (self.at - self.base) & 0xFFFF]
+        if not got or self.at > self.total:
+            raise malformed("coded samples end or make no sense")
+        self.at += got >> 8
+        return got & 255
+
+    def value(self, size: int) -> int:
+        """A signed number of so many bits; the lower half is negative."""
+        got = self.bits(size) if size else 0
+        return got if not size or got >> size - 1 else got - (1 << size) + 1
+
+
+def _sequential(r: Bits, block: memoryview, at: int, last: int, dc: list[int], ac: list[int], places: list[int]) -> int:
+    """Reads one block at a place of `block`; returns its first coefficient."""
+    size = r.symbol(dc)
+    if size > 15:
+        raise malformed("a coefficient of too many bits")
+    block[at] = last = last + r.value(size)
+    k = 1
+    while k < 64:
+        got = r.symbol(ac)
+        size = got & 15
+        if not size:
+            if got < 0xF0:
+                break
+            k += 16
+            continue
+        k += got >> 4
+        if k > 63:
+            raise malformed("a run leaves its block")
+        block[at + places[k]] = r.value(size)
+        k += 1
+    return last
+
+
+def _band(r: Bits, block: memoryview, at: int, rest: int, scan: Scan, ac: list[int], places: list[int]) -> int:
+    """First scan of a band. `rest`: blocks, this one included, that a symbol
+    before has declared empty; returns what is left of them."""
+    if rest:
+        return rest - 1
+    k = scan.first
+    while k <= scan.last:
+        got = r.symbol(ac)
+        run, size = got >> 4, got & 15
+        if not size:
+            if run < 15:
+                return (1 << run) + r.bits(run) - 1
+            k += 16
+            continue
+        k += run
+        if k > scan.last:
+            raise malformed("a run leaves its band")
+        block[at + places[k]] = r.value(size) << scan.bit
+        k += 1
+    return 0
+
+
+def _refine(r: Bits, block: memoryview, at: int, rest: int, scan: Scan, ac: list[int], places: list[int]) -> int:
+    """A further bit of a band: one for each coefficient that is set already, and
+    new coefficients of size one after runs that count the unset places alone."""
+    step, k = 1 << scan.bit, scan.first
+    while k <= scan.last:
+        run, new = 64, 0  # in empty blocks only the set coefficients get bits
+        if not rest:
+            got = r.symbol(ac)
+            run = got >> 4
+            if got & 15 > 1:
+                raise malformed("a new coefficient of more than one bit")
+            if got & 15:
+                new = step if r.bits(1) else -step
+            elif run < 15:
+                rest, run = (1 << run) + r.bits(run), 64
+        while k <= scan.last:
+            place, k = at + places[k], k + 1
+            old = block[place]
+            if old:
+                if r.bits(1):
+                    block[place] = old + step if old > 0 else old - step
+            elif run:
+                run -= 1
+            else:
+                block[place] = new
+                break
+    return rest - 1 if rest else 0
+
+
+def _read_scan(f: Header, scan: Scan, parts: list[bytes]) -> None:
+    hm, vm = max(p.h for p in f.parts), max(p.v for p in f.parts)
+    if len(scan.parts) == 1:  # only blocks that hold samples of the image are coded
+        p = scan.parts[0]
+        across, down = -(-f.width * p.h // (8 * hm)), -(-f.height * p.v // (8 * vm))
+        units = [(p, 0, 0, 1, 1)]
+    else:
+        across, down = -(-f.width // (8 * hm)), -(-f.height // (8 * vm))
+        units = [(p, y, x, p.v, p.h) for p in scan.parts for y in range(p.v) for x in range(p.h)]
+    codes = {}
+    for p in scan.parts:
+        needed = [p.dc] * (scan.first == 0 and not scan.before) + [16 + p.ac] * (scan.last > 0)
+        if any(k not in f.codes for k in needed) or p.table not in f.quant:
+            raise malformed("a table is missing")
+        if p.quant is None:
+            p.quant = f.quant[p.table]
+        codes |= {k: f.codes[k].tolist() for k in needed if k not in codes}
+    plan = [(scan.parts.index(p), memoryview(p.blocks).cast("B").cast("i"), p.blocks.shape[1], y, x, v, h, codes.get(p.dc), codes.get(16 + p.ac)) for p, y, x, v, h in units]
+    places, count, done = ZIGZAG.tolist(), across * down, 0
+    each = f.restart or count
+    band = _refine if scan.before else _band
+    for part in parts:
+        if done >= count:
+            break
+        r, last, rest = Bits(part), [0] * len(scan.parts), 0
+        for unit in range(done, min(count, done + each)):
+            my, mx = divmod(unit, across)
+            for c, block, stride, y, x, v, h, dc, ac in plan:
+                at = 64 * ((my * v + y) * stride + mx * h + x)
+                if not f.progressive:
+                    last[c] = _sequential(r, block, at, last[c], dc, ac, places)
+                elif scan.first:
+                    rest = band(r, block, at, rest, scan, ac, places)
+                elif scan.before:
+                    block[at] |= r.bits(1) << scan.bit
+                else:
+                    size = r.symbol(dc)
+                    if size > 15:
+                        raise malformed("a coefficient of too many bits")
+                    last[c] += r.value(size)
+                    block[at] = last[c] << scan.bit
+            done = unit + 1
+            if r.at > r.total:
+                raise malformed("coded samples end too early")
+    if done < count:
+        raise malformed(f"{done} of {count} units")
+
+
 def coefficients(data: bytes, f: Header) -> None:
-    """Fills in each component's blocks (rows, columns, 64), quantised, row by row."""
+    """Fills in each component's blocks (rows, columns, 64), quantised, row by row.
+    A sequential file ends when every component has been read, a progressive one
+    at its end marker."""
+    if len(f.parts) == 1:
+        f.parts[0].h = f.parts[0].v = 1
     hm, vm = max(p.h for p in f.parts), max(p.v for p in f.parts)
     across, down = -(-f.width // (8 * hm)), -(-f.height // (8 * vm))
-    if len(f.parts) == 1:
-        f.parts[0].h = f.parts[0].v = hm = vm = 1
-        across, down = -(-f.width // 8), -(-f.height // 8)
-    plan = []
     for p in f.parts:
-        if p.dc not in f.codes or 16 + p.ac not in f.codes or p.table not in f.quant:
-            raise malformed("a table is missing")
         p.blocks = np.zeros((down * p.v, across * p.h, 64), np.int32)
-        plan.append((p, f.codes[p.dc].tolist(), f.codes[16 + p.ac].tolist()))
-    zigzag, unit, units = ZIGZAG.tolist(), 0, across * down
-    each = f.restart or units
-    for part in _stretches(data, f.scan):
-        if unit >= units:
-            break
-        bits, total, at = int.from_bytes(part + b"\xff" * 8, "big"), 8 * len(part) + 64, 0
-        # long numbers are slow to shift, so a window of 4096 bits is kept
-        window, base = None, -1
-
-        def peek(n: int) -> int:
-            nonlocal window, base
-            if base < 0 or at + n > base + 4096:
-                base = at
-                window = (bits >> max(0, total - at - 4096)) & ((1 << 4096) - 1) if total - at >= 4096 else (bits & ((1 << max(0, total - at)) - 1)) << 4096 - max(0, total - at)
-            return window >> 4096 - (at - base) - n & ((1 << n) - 1)
-
-        last = [0] * len(plan)
-        for unit in range(unit, min(units, unit + each)):
-            my, mx = divmod(unit, across)
-            for c, (p, dc, ac) in enumerate(plan):
-                for b in range(p.h * p.v):
-                    block = p.blocks[my * p.v + b // p.h, mx * p.h + b % p.h]
-                    k, table = 0, dc
-                    while k < 64:
-                        got = table[peek(16)]
-                        if not got or at > 8 * len(part):
-                            raise malformed("coded samples end or make no sense")
-                        at += got >> 8
-                        run, size = (got & 255) >> 4, got & 15
-                        if k == 0:
-                            run, size = 0, got & 255
-                        elif not size:
-                            if run < 15:
-                                break
-                            k += 16
-                            continue
-                        k += run
-                        if k > 63 or size > 15:
-                            raise malformed("a run leaves its block")
-                        value = 0
-                        if size:
-                            value = peek(size)
-                            at += size
-                            if value < 1 << size - 1:
-                                value -= (1 << size) - 1
-                        if k == 0:
-                            last[c] += value
-                            value = last[c]
-                        block[zigzag[k]] = value
-                        k, table = k + 1, ac
-        unit += 1
-    if unit < units:
-        raise malformed(f"{unit} of {units} units")
+    scan = f.scan
+    while scan:
+        parts, end = _stretches(data, scan.start)
+        _read_scan(f, scan, parts)
+        if not f.progressive and all(p.quant is not None for p in f.parts):
+            return
+        scan = None
+        for mark, body, at in _segments(data, end):
+            if mark == 0xDA:
+                scan = _scan(f, body, at)
+                break
+            _tables(f, mark, body)
+        else:
+            if f.progressive and data.rfind(b"\xff\xd9") < end:
+                raise malformed("the file ends before its last scan")
+    if any(p.quant is None for p in f.parts):
+        raise malformed("a component without a scan")
 
 
 def fitting(width: int, height: int, to_width: int, to_height: int) -> int:
@@ -288,7 +451,7 @@ def decode(data: bytes, limits: Limits = Limits(), scale: int = 1) -> np.ndarray
     planes = []
     for p in f.parts:
         down, across, _ = p.blocks.shape
-        made = idct((p.blocks.reshape(-1, 64) * f.quant[p.table]).reshape(-1, 8, 8).astype(np.float64), 8 // scale)
+        made = idct((p.blocks.reshape(-1, 64) * p.quant).reshape(-1, 8, 8).astype(np.float64), 8 // scale)
         plane = np.clip(np.floor(made + 128.5), 0, 255).astype(np.uint8).reshape(down, across, 8 // scale, -1).transpose(0, 2, 1, 3).reshape(down * 8 // scale, -1)
         rows, columns = np.arange(height) * p.v // vm, np.arange(width) * p.h // hm
         planes.append(plane[rows][:, columns])

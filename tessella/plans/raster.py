@@ -43,7 +43,7 @@ def load(content: bytes, steps: tuple, limits: Limits, shrink: bool) -> tuple[np
         f = tiff.layout(content, limits)
         if x + width <= f.width and y + height <= f.height:
             return tiff.decode(content, limits, Region(x, y, width, height)), steps[1:], None
-    if name == "jpeg" and first == "resize_to" and shrink:
+    if name == "jpeg" and first == "resize_to" and shrink and not jpeg.is_progressive(content):
         size = codecs.size_of(content)
         return jpeg.decode(content, limits, jpeg.fitting(*size, *fit(*size, args[0], args[1], args[3], args[4]))), steps, size
     return codecs.decode(content, limits), steps, None

@@ -72,7 +72,7 @@ def test_damaged_files_have_codes():
     cases = [
         (good[:-20], "malformed"), (good[:40] + b"\xff" + good[41:], "malformed"), (b"", "unsupported"), (b"RIFF\0\0\0\0WEBPVP8 ", "unsupported"), (b"\0\0\0\x18ftypavif\0\0\0\0mif1avif", "unsupported"),
         (b"\0\1\2\3", "unsupported"), (png_of(1, 1, 8, 3, [b"\5"], extra=[(b"PLTE", b"\0\0\0")]), "malformed"), (png_of(1, 1, 3, 0, [b"\0"]), "malformed"), (gif.encode(noise(3, 3, 1))[:20], "malformed"),
-        (tiff.encode(noise(3, 3, 1))[:30], "malformed"), (jpeg.encode(smooth(16, 16))[:-30], "malformed"), (b"\xff\xd8\xff\xc2\0\x0b\x08\0\1\0\1\1\1\x11\0", "unsupported"),
+        (tiff.encode(noise(3, 3, 1))[:30], "malformed"), (jpeg.encode(smooth(16, 16))[:-30], "malformed"), (b"\xff\xd8\xff\xc2\0\x0b\x08\0\1\0\1\1\1\x11\0", "malformed"), (b"\xff\xd8\xff\xc9\0\x0b\x08\0\1\0\1\1\1\x11\0", "unsupported"),
     ]
     for data, code in cases:
         with pytest.raises(RasterError) as e:
@@ -156,6 +156,89 @@ def test_another_maker_reads_the_same(spark, tmp_path):
         assert mine.shape == theirs.shape and np.abs(mine - theirs).max() <= {"d.jpg": 40}.get(name, 4 if name.endswith("jpg") else 0), name
 
 
+def jvm_jpeg(spark, a, quality=0.9, progressive=False, restart=0, sampling=(2, 2)):
+    """A JPEG by the JVM's own writer, and its samples by the JVM's own reader."""
+    jvm = spark._jvm
+    io, meta = jvm.javax.imageio, jvm.javax.imageio.metadata
+    image = io.ImageIO.read(jvm.java.io.ByteArrayInputStream(png.encode(a)))
+    writer = io.ImageIO.getImageWritersByFormatName("jpeg").next()
+    param = writer.getDefaultWriteParam()
+    param.setCompressionMode(2)
+    param.setCompressionQuality(quality)
+    if progressive:
+        param.setProgressiveMode(1)
+    data = writer.getDefaultImageMetadata(io.ImageTypeSpecifier(image), param)
+    tree = data.getAsTree(data.getNativeMetadataFormatName())
+    markers = tree.getElementsByTagName("markerSequence").item(0)
+    if restart:
+        node = meta.IIOMetadataNode("dri")
+        node.setAttribute("interval", str(restart))
+        markers.insertBefore(node, markers.getFirstChild())
+    if a.shape[2] > 1:
+        part = tree.getElementsByTagName("componentSpec").item(0)
+        part.setAttribute("HsamplingFactor", str(sampling[0]))
+        part.setAttribute("VsamplingFactor", str(sampling[1]))
+    data.setFromTree(data.getNativeMetadataFormatName(), tree)
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = io.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, io.IIOImage(image, None, data), param)
+    stream.close()
+    made = bytes(out.toByteArray())
+    again = jvm.java.io.ByteArrayOutputStream()
+    io.ImageIO.write(io.ImageIO.read(jvm.java.io.ByteArrayInputStream(made)), "png", again)
+    return made, codecs.decode(bytes(again.toByteArray()))
+
+
+@pytest.mark.parametrize("progressive", [False, True])
+@pytest.mark.parametrize("channels,sampling", [(1, (1, 1)), (3, (1, 1)), (3, (2, 1)), (3, (1, 2)), (3, (2, 2))])
+@pytest.mark.parametrize("restart", [0, 2])
+def test_jpeg_of_another_maker(spark, progressive, channels, sampling, restart):
+    """Sizes that fill no unit; a gradient under noise, so that no coefficient is spared."""
+    rng = np.random.default_rng(3)
+    grid = np.add.outer(np.arange(45) * 2, np.arange(61))
+    a = np.clip(grid[..., None] + np.array([0, 30, 60])[:channels] + rng.integers(0, 25, (45, 61, 1)), 0, 255).astype(np.uint8)
+    data, theirs = jvm_jpeg(spark, a, 0.95, progressive, restart, sampling)
+    assert jpeg.is_progressive(data) == progressive and (data.count(b"\xff\xdd") == 1) == (restart > 0)
+    mine = codecs.decode(data)
+    apart = np.abs(mine.astype(int) - theirs[..., :channels].astype(int))
+    # The JVM smooths halved chroma between its samples; luma agrees
+    whole = channels == 1 or sampling == (1, 1)
+    assert mine.shape == a.shape and (apart.max() <= 4 if whole else apart.mean() < 4)
+
+
+def test_progressive_jpeg_holds_the_same_coefficients(spark):
+    a = noise(33, 50, 3)
+    found = []
+    for progressive in (False, True):
+        data, _ = jvm_jpeg(spark, a, 0.8, progressive)
+        f = jpeg.header(data)
+        jpeg.coefficients(data, f)
+        found.append(f.parts)
+    for p, q in zip(*found):
+        rows, columns = -(-33 * p.v // 16), -(-50 * p.h // 16)  # blocks that hold samples; the others are padding
+        assert (p.blocks[:rows, :columns] == q.blocks[:rows, :columns]).all() and (p.quant == q.quant).all()
+
+
+def test_progressive_jpeg_damaged_or_too_large(spark, monkeypatch):
+    data, _ = jvm_jpeg(spark, smooth(40, 40), 0.9, True)
+    scans = [k for k in range(len(data) - 1) if data[k : k + 2] == b"\xff\xda"]
+    assert len(scans) > 3
+    for cut in (scans[1], scans[-1], scans[2] + 12, len(data) - 2):
+        with pytest.raises(RasterError) as e:
+            jpeg.decode(data[:cut])
+        assert e.value.code == "malformed"
+    for k in range(scans[0] + 2, scans[0] + 14):  # scan headers that make no sense have codes, too
+        try:
+            jpeg.decode(data[:k] + bytes([data[k] ^ 0x55]) + data[k + 1 :])
+        except RasterError as e:
+            assert e.code == "malformed"
+    monkeypatch.setattr(jpeg, "PROGRESSIVE", 40 * 40 * 3 - 1)
+    with pytest.raises(RasterError) as e:
+        jpeg.decode(data)
+    assert e.value.code == "limit_exceeded"
+
+
 def test_open_run_and_write(spark, tmp_path):
     a, b = smooth(40, 51), noise(64, 48, 3)
     (tmp_path / "in").mkdir()
