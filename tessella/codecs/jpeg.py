@@ -253,7 +253,7 @@ def _stretches(data: bytes, at: int) -> tuple[list[bytes], int]:
 class Bits:
     """Reads a stretch from its highest bits on; beyond its end come ones."""
 
-    WINDOW = 128  # bytes held as one number; long numbers are slow to shift
+    WINDOW = 64  # bytes held as one number; long numbers are slow to shift
 
     def __init__(self, part: bytes):
         self.part, self.total, self.at, self.base, self.held = part, 8 * len(part), 0, 0, 0
@@ -285,25 +285,36 @@ class Bits:
 
 
 def _sequential(r: Bits, block: memoryview, at: int, last: int, dc: list[int], ac: list[int], places: list[int]) -> int:
-    """Reads one block at a place of `block`; returns its first coefficient."""
+    """Reads one block at a place of `block`; returns its first coefficient. The
+    reader's calls are written out, as this is where most files spend their time."""
     size = r.symbol(dc)
     if size > 15:
         raise malformed("a coefficient of too many bits")
     block[at] = last = last + r.value(size)
-    k = 1
+    k, left, held, least = 1, 8 * r.WINDOW + r.base - r.at, r.held, 8 * r.WINDOW + r.base - r.total
     while k < 64:
-        got = r.symbol(ac)
+        if left < 32:
+            r.at = r.base + 8 * r.WINDOW - left
+            r._fill()
+            left, held, least = 8 * r.WINDOW + r.base - r.at, r.held, 8 * r.WINDOW + r.base - r.total
+        got = ac[held >> left - 16 & 0xFFFF]
+        if not got or left < least:
+            raise malformed("coded samples end or make no sense")
+        left -= got >> 8
         size = got & 15
         if not size:
-            if got < 0xF0:
+            if got & 255 < 0xF0:
                 break
             k += 16
             continue
-        k += got >> 4
+        k += got >> 4 & 15
         if k > 63:
             raise malformed("a run leaves its block")
-        block[at + places[k]] = r.value(size)
+        left -= size
+        value = held >> left & (1 << size) - 1
+        block[at + places[k]] = value if value >> size - 1 else value - (1 << size) + 1
         k += 1
+    r.at = r.base + 8 * r.WINDOW - left
     return last
 
 
