@@ -1,5 +1,7 @@
 """File formats: round trips, damaged files, and the decoders of another maker."""
 
+import struct
+
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -220,6 +222,33 @@ def test_progressive_jpeg_holds_the_same_coefficients(spark):
         assert (p.blocks[:rows, :columns] == q.blocks[:rows, :columns]).all() and (p.quant == q.quant).all()
 
 
+@pytest.mark.parametrize("order,start", [("<", b"II*\0"), (">", b"MM\0*")])
+def test_jpeg_orientation_is_read_and_not_applied(order, start):
+    a = smooth(24, 16)
+    plain = jpeg.encode(a)
+
+    def with_exif(*entries):
+        ifd = struct.pack(order + "H", len(entries)) + b"".join(struct.pack(order + "HHIHH", tag, kind, 1, value, 0) for tag, kind, value in entries)
+        body = b"Exif\0\0" + start + struct.pack(order + "I", 8) + ifd
+        return plain[:2] + b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body + plain[2:]
+
+    for value, found in ((1, 1), (6, 6), (8, 8), (0, 1), (9, 1)):
+        data = with_exif((0x10F, 3, 7), (0x112, 3, value))
+        assert jpeg.header(data).orientation == found and (jpeg.decode(data) == jpeg.decode(plain)).all()
+    assert jpeg.header(plain).orientation == jpeg.header(with_exif((0x112, 4, 6))).orientation == 1
+    assert jpeg.header(with_exif((0x112, 3, 6)).replace(start + struct.pack(order + "I", 8), start + struct.pack(order + "I", 9999))).orientation == 1
+
+
+def test_jpeg_without_color_transform():
+    """An Adobe segment of transform 0: the components are red, green and blue."""
+    a = smooth(24, 16)
+    data = jpeg.encode(a, EncodeOptions(95))
+    adobe = data[:2] + b"\xff\xee\0\x0eAdobe\0\x64\0\0\0\0\0" + data[2:]
+    plain, mine = jpeg.decode(data).astype(float), jpeg.decode(adobe).astype(float)
+    back = np.stack([mine[..., 0] + 1.402 * (mine[..., 2] - 128), mine[..., 0] - 0.344136 * (mine[..., 1] - 128) - 0.714136 * (mine[..., 2] - 128), mine[..., 0] + 1.772 * (mine[..., 1] - 128)], axis=2)
+    assert np.abs(np.clip(back, 0, 255) - plain).max() <= 1
+
+
 def test_progressive_jpeg_damaged_or_too_large(spark, monkeypatch):
     data, _ = jvm_jpeg(spark, smooth(40, 40), 0.9, True)
     scans = [k for k in range(len(data) - 1) if data[k : k + 2] == b"\xff\xda"]
