@@ -122,11 +122,14 @@ def cut_table(df: DataFrame) -> DataFrame:
 
 def keep_rows(docs: DataFrame, judge) -> DataFrame:
     """The rows of docs that judge keeps: judge() makes, in each task, a
-    function from a record batch to a list of booleans. All columns stay."""
+    function from a record batch with `text` (and `lang`) to a list of booleans.
+    All columns stay; the others travel by number, as Arrow stages take no name
+    with a dot or a quote."""
 
     def run(batches):
         keep = judge()
         for b in batches:
             yield b.filter(pa.array(keep(b), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(c if c in ("text", "lang") else f"column{k}" for k, c in enumerate(docs.columns)))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
