@@ -6,24 +6,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed value: the images that one task makes pixels of.
+IMAGES_OF_A_TASK = 4096
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows by image_id, so many of them to a task that its pixels (800 of an
+    image at most) stay few: a small file of sizes or vectors is a single split
+    but makes rows by the hundred. What groups or orders by image needs no
+    shuffle of pixels after this."""
+    rows = df.count()  # of a file: from its footer
+    return df.repartition(max(1, min(rows, df.sparkSession.sparkContext.defaultParallelism), -(-rows // IMAGES_OF_A_TASK)), "image_id")
+
+
 def _byte(e):
     return F.least(F.lit(255), F.greatest(F.lit(0), F.floor(e.cast("double") * 255 + 128))).cast("int")
 
 
 def emb8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as 8x8 gray8."""
-    df = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("p", "e"))
+    df = _dealt(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding")).select("image_id", F.posexplode("embedding").alias("p", "e"))
     return df.select("image_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).cast("int").alias("x"), F.array(_byte(F.col("e"))).alias("px"))
 
 
 def emb4(spark: SparkSession, sf_dir: str, floats: bool = False) -> DataFrame:
     """Each vector as 4x4 rgba8 (or rgbaf32)."""
-    df = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("p"))
+    df = _dealt(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding")).select("image_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("p"))
     four = [F.col("embedding")[F.col("p") * 4 + k] for k in range(4)]
     px = F.array(*(four if floats else map(_byte, four)))
     return df.select("image_id", F.lit(4).alias("width"), F.lit(4).alias("height"), F.floor(F.col("p") / 4).cast("int").alias("y"), (F.col("p") % 4).cast("int").alias("x"), px.alias("px"))
@@ -36,10 +48,12 @@ def part_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as p_size x (1 + p_partkey % 16) rgb8: many shapes."""
-    df = part_sizes(spark, sf_dir)
+    df = _dealt(part_sizes(spark, sf_dir))
     df = df.withColumn("y", F.explode(F.expr("sequence(0, height - 1)"))).withColumn("x", F.explode(F.expr("sequence(0, width - 1)")))
-    ck = "case when (x div 8 + y div 8) % 2 = 0 then 60 else 0 end"
-    return df.selectExpr("image_id", "width", "height", "y", "x", f"array(cast((x * 255 div width + {ck}) % 256 as int), cast((y * 255 div height + {ck}) % 256 as int), cast((x ^ y) % 256 as int)) as px")
+    df = df.selectExpr("*", "case when (x div 8 + y div 8) % 2 = 0 then 60 else 0 end as ck")
+    # samples as columns first: what reads px more than once then reads columns, not their terms again
+    df = df.selectExpr("*", "cast((x * 255 div width + ck) % 256 as int) as r", "cast((y * 255 div height + ck) % 256 as int) as g", "cast((x ^ y) % 256 as int) as b")
+    return df.selectExpr("image_id", "width", "height", "y", "x", "array(r, g, b) as px")
 
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
