@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import _put
+from tessella.functions.types import invalid
+
+from .relational import KEY, _put
 
 # JFIF colour coefficients times 2**16.
 TO_YCBCR = ((19595, 38470, 7471, 0), (-11056, -21712, 32768, 128), (32768, -27440, -5328, 128))
@@ -22,14 +24,22 @@ def _byte(c: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), c)).cast("int")
 
 
+def _bound(df: DataFrame, samples: list[Column]) -> DataFrame:
+    """px of these samples, each a column of its own first: a next step that
+    reads a sample several times would else be given its whole term as often,
+    which made loops too long for the JVM to compile."""
+    named = df.select(*(c for c in KEY if c != "px"), *(s.alias(f"_s{k}") for k, s in enumerate(samples)))
+    return _put(named, px=F.array(*(F.col(f"_s{k}") for k in range(len(samples)))))
+
+
 def to_ycbcr(df: DataFrame) -> DataFrame:
     rgb = [F.col("px")[k] for k in range(3)]
-    return _put(df, px=F.array(*(_byte(F.shiftright(rgb[0] * r + rgb[1] * g + rgb[2] * b + HALF, 16) + add) for r, g, b, add in TO_YCBCR)))
+    return _bound(df, [_byte(F.shiftright(rgb[0] * r + rgb[1] * g + rgb[2] * b + HALF, 16) + add) for r, g, b, add in TO_YCBCR])
 
 
 def to_rgb(df: DataFrame) -> DataFrame:
     y, cb, cr = F.col("px")[0] * 65536, F.col("px")[1] - 128, F.col("px")[2] - 128
-    return _put(df, px=F.array(*(_byte(F.shiftright(y + cb * b + cr * r + HALF, 16)) for b, r in TO_RGB)))
+    return _bound(df, [_byte(F.shiftright(y + cb * b + cr * r + HALF, 16)) for b, r in TO_RGB])
 
 
 def box_shrink(df: DataFrame, across: int, down: int, channels: int) -> DataFrame:
@@ -59,14 +69,16 @@ def nearest_entry(df: DataFrame, palette: list[tuple[int, int, int]]) -> DataFra
     colours, the first of equals; each pixel is a projection, no join."""
     if not 1 <= len(palette) <= 256:
         raise invalid("a palette has 1 to 256 entries")
-    table = F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(v).alias(c) for v, c in zip(e, "rgb"))) for i, e in enumerate(palette)))
     px = [F.col("px")[k] for k in range(3)]
-
-    def far(e: Column) -> Column:
-        return sum(((px[k] - e[c]) * (px[k] - e[c]) for k, c in enumerate("rgb")), F.lit(0))
-
-    best = F.array_min(F.transform(table, lambda e: F.struct(far(e).alias("d"), e["i"].alias("i"))))
-    return df.select("image_id", "y", "x", best["i"].alias("idx"))
+    # distance and number in one whole number, so the least is the first of the closest
+    far = lambda e, i: sum(((px[k] - e[k]) * (px[k] - e[k]) for k in range(3)), F.lit(0)) * 256 + i
+    if len(palette) <= 16:
+        terms = [far([F.lit(v) for v in e], F.lit(i)) for i, e in enumerate(palette)]
+        best = F.least(*terms) if len(terms) > 1 else terms[0]
+    else:  # as terms, these would make a loop too long for the JVM to compile
+        table = F.array(*(F.array(*map(F.lit, (*e, i))) for i, e in enumerate(palette)))
+        best = F.array_min(F.transform(table, lambda e: far(e, e[3])))
+    return df.select("image_id", "y", "x", (best % 256).cast("int").alias("idx"))
 
 
 def difference_rows(df: DataFrame, channels: int) -> DataFrame:

@@ -10,6 +10,7 @@ is in whole numbers, so results do not depend on partitions.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,22 +152,29 @@ def _sums(df: DataFrame, by: list[str], channels: int, full: int) -> DataFrame:
 
 def convolve(df, kernel: Kernel, channels: int, full: int = 255):
     """Each pixel is handed to every output it is a tap of. The first and last
-    pixel of a line also stand in for the taps beyond the edge."""
+    pixel of a line also stand in for the taps beyond the edge: there is a table
+    of weights for each of the 16 cases (inside, first, last, both; of rows and
+    of columns), so a pixel meets an output once, with the sum of its taps."""
     ry, rx = kernel.height // 2, kernel.width // 2
     narrow = full == 255 and not floats(df)
-    used = kernel.fixed if narrow else kernel.exact
-    taps = [(dy - ry, dx - rx, int(kernel.fixed[dy, dx]), float(kernel.exact[dy, dx])) for dy in range(kernel.height) for dx in range(kernel.width) if used[dy, dx]]
-    if not taps:
+    used = (kernel.fixed if narrow else kernel.exact) != 0
+    if not used.any():
         return _put(df, px=F.array(*[F.lit(0).cast(df.schema["px"].dataType.elementType)] * channels))
-    table = df.sparkSession.createDataFrame(taps, "dy int, dx int, q long, w double")
 
-    def targets(at: Column, d: Column, size: Column) -> Column:
-        lo = F.greatest(F.lit(0), F.when(at == 0, F.lit(0)).otherwise(at - d))
-        hi = F.least(size - 1, F.when(at == size - 1, size - 1).otherwise(at - d))
-        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-
-    spread = df.join(F.broadcast(table))  # at most 63 x 63 taps
-    spread = spread.withColumn("_y", F.explode(targets(F.col("y"), F.col("dy"), F.col("height")))).withColumn("_x", F.explode(targets(F.col("x"), F.col("dx"), F.col("width"))))
+    def cases(r: int) -> list[np.ndarray]:
+        """[e, d]: whether a pixel e beyond an output is what its tap d reads."""
+        e, d = np.mgrid[-r : r + 1, -r : r + 1]
+        return [(m & (e == 0) if k == 3 else m).astype(np.int64) for k, m in enumerate((d == e, d <= e, d >= e, d >= -r))]
+
+    taps = []
+    for cy, down in enumerate(cases(ry)):
+        for cx, across in enumerate(cases(rx)):
+            q, w, some = (down @ k @ across.T for k in (kernel.fixed.astype(np.int64), np.asarray(kernel.exact, float), used.astype(np.int64)))
+            taps += [(cy * 4 + cx, int(y) - ry, int(x) - rx, int(q[y, x]), float(w[y, x])) for y, x in zip(*np.nonzero(some))]
+    table = df.sparkSession.createDataFrame(taps, "case int, dy int, dx int, q long, w double")
+    case = F.expr("4 * (if(y = 0, 1, 0) + if(y = height - 1, 2, 0)) + if(x = 0, 1, 0) + if(x = width - 1, 2, 0)")
+    spread = df.withColumn("_case", case).join(F.broadcast(table), F.col("_case") == F.col("case"))  # at most 16 x 63 x 63 rows
+    spread = spread.withColumn("_y", F.col("y") - F.col("dy")).withColumn("_x", F.col("x") - F.col("dx")).filter("_y between 0 and height - 1 and _x between 0 and width - 1")
     out = _sums(spread, ["_y", "_x"], channels, full)
     return _put(out, y=F.col("_y"), x=F.col("_x"))
 
@@ -223,5 +231,6 @@ def saturating_sum(a, b, channels: int):
 
 
 def samples(df: DataFrame) -> DataFrame:
-    """image_id, y, x, c, v."""
-    return df.select("image_id", "y", "x", F.posexplode("px").alias("c", "v"))
+    """image_id, y, x, c, v. For a bare column Spark would put a filter on its
+    size in front and move that down, where it works out every step again."""
+    return df.select("image_id", "y", "x", F.posexplode(F.concat("px")).alias("c", "v"))
