@@ -56,17 +56,58 @@ def apply(df: DataFrame, chain: Callable[[np.ndarray], np.ndarray]) -> DataFrame
     return df.select("image_id", "width", "height", "pixel", "data").mapInArrow(run, IMAGE)
 
 
+def _gathered(df: DataFrame) -> DataFrame:
+    """image_id, width, height, rows: the pixels of each image, in any order."""
+    return df.groupBy("image_id", "width", "height").agg(F.collect_list(F.struct("y", "x", "px")).alias("rows"))
+
+
+def packed(batch: pa.RecordBatch, dtype: str) -> list[tuple[int, int, int, int, bytes]]:
+    """(image_id, width, height, channels, data) of a batch of `_gathered`: all
+    pixels of the batch are put on their places at once."""
+    ids, (w, h) = batch.column(0).to_pylist(), (batch.column(k).to_numpy().astype(np.int64) for k in (1, 2))
+    each, pixels = batch.column(3).value_lengths().to_numpy(), batch.column(3).flatten()
+    wide = pixels.field(2).value_lengths().to_numpy(zero_copy_only=False)
+    if (each != w * h).any() or not (wide > 0).all():
+        raise RasterError("invalid_argument", "an image lacks pixels or has some twice")
+    if not len(ids):
+        return []
+    ends = np.cumsum(each)
+    channels = wide[ends - 1].astype(np.int64)
+    flat = pixels.field(2).flatten().to_numpy(zero_copy_only=False)
+    kind = np.dtype(dtype)
+    if kind.kind == "u" and len(flat) and (flat.min() < 0 or flat.max() > np.iinfo(kind).max):
+        raise RasterError("invalid_argument", f"a sample does not fit {kind}")
+    y, x = (pixels.field(k).to_numpy() for k in (0, 1))
+    across = np.repeat(w, each)
+    if (y < 0).any() or (x < 0).any() or (x >= across).any() or (y >= np.repeat(h, each)).any():
+        raise RasterError("invalid_argument", "a pixel is outside its image")
+    at, seen = y * across + x + np.repeat(ends - each, each), np.zeros(len(y), bool)
+    seen[at] = True
+    if not seen.all() or (wide != np.repeat(channels, each)).any():
+        raise RasterError("invalid_argument", "an image lacks pixels or has some twice")
+    starts = np.cumsum(channels * each) - channels * each
+    if (channels == channels[0]).all():
+        out = np.empty((len(y), int(channels[0])), kind)
+        out[at] = flat.reshape(out.shape)
+        whole = out.tobytes()
+    else:
+        first = np.repeat(starts, each) + (at - np.repeat(ends - each, each)) * wide  # of each pixel's samples
+        out = np.empty(len(flat), kind)
+        out[np.repeat(first - (np.cumsum(wide) - wide), wide) + np.arange(len(flat))] = flat
+        whole = out.tobytes()
+    step = kind.itemsize
+    return [(i, int(a), int(b), int(c), whole[s * step : (s + n * c) * step]) for i, a, b, c, s, n in zip(ids, w, h, channels, starts.tolist(), each.tolist())]
+
+
 def from_samples(df: DataFrame, pixel: str) -> DataFrame:
     """A pixel relation as image rows; one shuffle, by image."""
-    whole = df.groupBy("image_id", "width", "height").agg(F.array_sort(F.collect_list(F.struct("y", "x", "px"))).alias("rows"))
-    whole = whole.select("image_id", "width", "height", F.flatten(F.transform("rows", lambda r: r["px"])).alias("v"))
     dtype = LAYOUTS[pixel].dtype
 
     def run(batches):
         for b in batches:
-            yield batch_of([(i, w, h, pixel, np.array(v, dtype).tobytes()) for i, w, h, v in zip(*(b.column(c).to_pylist() for c in range(4)))])
+            yield batch_of([(i, w, h, pixel, data) for i, w, h, _, data in packed(b, dtype)])
 
-    return whole.mapInArrow(run, IMAGE)
+    return _gathered(df).mapInArrow(run, IMAGE)
 
 
 def to_samples(df: DataFrame) -> DataFrame:
@@ -76,8 +117,8 @@ def to_samples(df: DataFrame) -> DataFrame:
         for b in batches:
             for ids, stack in stacks(b):
                 n, h, w, c = stack.shape
-                i, y, x, k = (g.ravel() for g in np.meshgrid(np.array(ids), np.arange(h), np.arange(w), np.arange(c), indexing="ij"))
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), *(pa.array(z.astype(np.int32)) for z in (y, x, k)), pa.array(stack.ravel().astype(np.int32))], names=["image_id", "y", "x", "c", "v"])
+                places = (np.tile(g.ravel(), n) for g in np.indices((h, w, c), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), h * w * c)), *map(pa.array, places), pa.array(stack.ravel().astype(np.int32))], names=["image_id", "y", "x", "c", "v"])
 
     return df.mapInArrow(run, "image_id long, y int, x int, c int, v int")
 
@@ -102,18 +143,13 @@ def to_relation(df: DataFrame) -> DataFrame:
 
 def from_relation(df: DataFrame) -> DataFrame:
     """Pixel rows of 8-bit samples as image rows, whatever their channels."""
-    whole = df.groupBy("image_id", "width", "height").agg(F.array_sort(F.collect_list(F.struct("y", "x", "px"))).alias("rows"))
-    whole = whole.select("image_id", "width", "height", F.flatten(F.transform("rows", lambda r: r["px"])).alias("v"))
+    names = {p.channels: p.name for p in LAYOUTS.values() if p.dtype == "u1"}
 
     def run(batches):
         for b in batches:
-            rows = []
-            for i, w, h, v in zip(*(b.column(c).to_pylist() for c in range(4))):
-                a = np.array(v, np.uint8).reshape(h, w, -1)
-                rows.append((i, w, h, descriptor_of(a).pixel, a.tobytes()))
-            yield batch_of(rows)
+            yield batch_of([(i, w, h, names[c], data) for i, w, h, c, data in packed(b, "u1")])
 
-    return whole.mapInArrow(run, IMAGE)
+    return _gathered(df).mapInArrow(run, IMAGE)
 
 
 def decode_row(width: int, height: int, pixel: str, data: bytes) -> np.ndarray:
