@@ -3,13 +3,15 @@ many pixels are dealt out, steps by image shuffle no pixels, loops stay short
 enough for the JVM to compile; and the rewritten steps on odd images."""
 
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tessella import catalog
-from tessella.functions.types import RasterError
+from tessella.codecs import gif
+from tessella.functions.types import EncodeOptions, RasterError
 from tessella.functions.weights import Kernel
 from tessella.operators import color, kernels, relational, tiles
 from tessella.sources import fixtures
@@ -86,3 +88,14 @@ def test_images_that_lack_pixels(places):
     with pytest.raises(RasterError) as e:
         tiles.packed(batch, "u1")
     assert e.value.code == "invalid_argument"
+
+
+def test_gif_of_few_colours_is_exact_and_quick():
+    a = np.random.default_rng(4).integers(0, 256, (64, 64, 3)).astype(np.uint8)
+    a[:, :, :2] = 0
+    table = gif.median_cut(a, 256)
+    assert (table == np.unique(a.reshape(-1, 3), axis=0)).all()
+    assert (gif.decode(gif.encode(a, EncodeOptions(100)))[..., :3] == a).all()
+    start = time.process_time()
+    gif.median_cut(a, 256)
+    assert time.process_time() - start < 0.1
